@@ -59,14 +59,18 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 
 def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and the n + 1 word offsets of the documents."""
-    if not len(buf):
+    return runs(table[buf], off)
+
+
+def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of true places, none beyond a document, and the run offsets of the documents."""
+    if not len(inside):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(off), np.int64)
-    inside = table[buf]
-    edge = np.zeros(len(buf) + 1, dtype=bool)
+    edge = np.zeros(len(inside) + 1, dtype=bool)
     np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
-    cut = off[(off > 0) & (off < len(buf))]
-    cut = cut[inside[cut] & inside[cut - 1]]  # a word of the next document follows without a gap
+    cut = off[(off > 0) & (off < len(inside))]
+    cut = cut[inside[cut] & inside[cut - 1]]  # a run of the next document follows without a gap
     first = edge[:-1] & inside
     first[0] = inside[0]
     first[cut] = True
