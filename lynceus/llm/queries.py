@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lynceus.llm import decontaminate as bench
+from lynceus.llm import langid, toxicity
 from lynceus.llm.fmindex import removed
 from lynceus.llm.minhash import near_duplicates
+from lynceus.llm.packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +30,36 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id", 5))
+    model = langid.fit(docs.filter("not held_out").select("text", "lang"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~langid.held_out("doc_id", 5)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", langid.held_out("doc_id", 5).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_langid": op2_langid,
+    "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_toxicity": op8_toxicity,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

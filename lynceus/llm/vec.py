@@ -141,13 +141,30 @@ def counted(x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray
 
 
 class HashIndex:
-    """Distinct non-zero 64-bit keys to their row numbers: linear probing, built and read in bulk."""
+    """Distinct non-zero 64-bit keys to their row numbers: linear probing, filled and read in bulk."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2.2))))
+        self.size = 0
+        self._room(len(keys))
+        self.add(keys)
+
+    def _room(self, n: int) -> None:
+        bits = max(10, int(np.ceil(np.log2(max(1, n) * 2.2))))
         self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
         self.keys = np.zeros(1 << bits, U64)
         self.rows = np.zeros(1 << bits, np.int32)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Give new keys the next row numbers, in their order."""
+        if (self.size + len(keys)) * 2 > self.mask:
+            used = self.keys != 0
+            old, rows = self.keys[used], self.rows[used]
+            self._room(2 * (self.size + len(keys)))
+            self._put(old, rows)
+        self._put(keys, np.arange(self.size, self.size + len(keys), dtype=np.int32))
+        self.size += len(keys)
+
+    def _put(self, keys: np.ndarray, rows: np.ndarray) -> None:
         left = np.arange(len(keys))
         slot = self._slot(keys)
         while len(left):
@@ -155,7 +172,7 @@ class HashIndex:
             s, who = slot[free], left[free]
             self.keys[s] = keys[who]  # of rivals for a slot one wins; the others find it taken
             won = self.keys[s] == keys[who]
-            self.rows[s[won]] = who[won]
+            self.rows[s[won]] = rows[who[won]]
             lost = np.r_[np.flatnonzero(~free), np.flatnonzero(free)[~won]]
             left, slot = left[lost], (slot[lost] + 1) & self.mask
 
