@@ -27,6 +27,23 @@ SALTS = 64
 CACHE_WORDS = 1_000_000
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, first: np.ndarray):
+        self.data, self.used = first, len(first)
+
+    def append(self, more: np.ndarray) -> None:
+        need = self.used + len(more)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(need, self.data.dtype)])
+        self.data[self.used : need] = more
+        self.used = need
+
+    def get(self) -> np.ndarray:
+        return self.data[: self.used]
+
+
 class WordTokens:
     """Token ids of words between white space, each worked out once.
 
@@ -42,7 +59,20 @@ class WordTokens:
 
     def _clear(self) -> None:
         self.index = vec.HashIndex(np.zeros(0, np.uint64))
-        self.start, self.size, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.full(1, END, np.uint32)
+        self.start, self.size = Grown(np.zeros(1, np.int64)), Grown(np.ones(1, np.int64))
+        self.ids = Grown(np.full(1, END, np.uint32))
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words, a thousand in one text, and tell by the offsets which tokens are whose."""
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            got = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(w) + 1 for w in part)])
+            at = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
+            size = np.bincount(np.searchsorted(begin, at, "right") - 1, minlength=len(part))
+            self.start.append(len(self.ids.get()) + np.cumsum(size) - size)
+            self.size.append(size)
+            self.ids.append(np.array(got.ids, np.uint32))
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the documents, each followed by END, and their n + 1 offsets."""
@@ -59,17 +89,13 @@ class WordTokens:
             at[np.searchsorted(keys, h[new])] = new
             raw = buf.tobytes()
             words = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            size = np.array([len(x) for x in got], np.int64)
-            self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
-            self.size = np.r_[self.size, size]
-            self.ids = np.r_[self.ids, np.array([i for x in got for i in x], np.uint32)]
+            self._learn(words)
             self.index.add(keys)
             row = self.index.find(h)
         row = np.insert(row + 1, ptr[1:], 0)  # row 0 of the store is END
-        size = self.size[row]
+        size = self.size.get()[row]
         end = np.cumsum(size)
-        flat = self.ids[np.repeat(self.start[row] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
+        flat = self.ids.get()[np.repeat(self.start.get()[row] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
         return flat, np.r_[0, end[ptr[1:] + np.arange(len(ptr) - 1)]]
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynceus.llm import decontaminate as bench
-from lynceus.llm import langid, toxicity
+from lynceus.llm import chat, langid, ppm, toxicity, warc
 from lynceus.llm.fmindex import removed
 from lynceus.llm.minhash import near_duplicates
 from lynceus.llm.packing import pack
+from lynceus.llm.topk import topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,13 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ppm.fit(docs.filter(~langid.held_out("doc_id", 10)))
+    scored = ppm.score(docs, model)
+    return scored.select("doc_id", langid.held_out("doc_id", 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id", 5))
     model = langid.fit(docs.filter("not held_out").select("text", "lang"))
@@ -53,13 +61,30 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out("doc_id", 5).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(_table(spark, sf_dir, "conversations"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.write(_table(spark, sf_dir, "pages")).records()
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ppm": op1_ppm,
     "op2_langid": op2_langid,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_topk": op5_topk,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
+    "op9_chat": op9_chat,
+    "op10_warc": op10_warc,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,7 +115,24 @@ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+_OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_OP9 = """
+WITH m AS (SELECT conv_id, '<|im_start|>' || replace(coalesce(role, ''), '<|', '<\\|') || chr(10) || replace(coalesce(text, ''), '<|', '<\\|') || '<|im_end|>' || chr(10) AS line,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT conv_id, p, n, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY p) AS upto FROM m),
+f AS (SELECT upto, n, min(conv_id) AS conv_id FROM r WHERE p = n GROUP BY upto, n)
+SELECT conv_id, n AS n_turns, upto AS rendered FROM f WHERE upto NOT IN (SELECT upto FROM r WHERE p < n)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": _OP4,
+    "op5_topk": _OP5,
     "op7_decontaminate": _OP7,
+    "op9_chat": _OP9,
 }
