@@ -23,31 +23,32 @@ from pyspark.sql import functions as F
 from lynceus.llm import vec
 from lynceus.llm.shared import cut
 
-ORDER = 6
+ORDER = 5
 END = 256
 SYMBOLS = 257
 #: An n-gram stays in the trie with at least this share of all places, so an order has at most 2^21 of them.
 TRIE_SHARE = 1 << 21
-#: Tokens with at least this share of all tokens, at most 2^20, are looked up where the text is; the others by a join.
-HEAD_SHARE = 1 << 20
+#: Tokens with at least this share of all tokens, at most 2^21, are looked up where the text is; the others by a join.
+HEAD_SHARE = 1 << 21
+#: Bytes of text taken at once, and counts held before they are added up.
+CHUNK, HELD = 1 << 19, 1_500_000
 
 _END_TOKEN = np.uint64(0x5851F42D4C957F2D)
 
 
-def symbols(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def symbols(buf: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Packed (order + 1)-grams, nine bits a symbol, that end at each byte and each text's end; n + 1 offsets."""
     n = len(off) - 1
     out = np.full(len(buf) + order * (n + 1), END, np.uint64)
-    doc = np.repeat(np.arange(n), np.diff(off))
-    out[np.arange(len(buf)) + order * (doc + 1)] = vec.LOWER[buf]
-    key = np.zeros(len(out) - order, np.uint64)
-    for j in range(order + 1):
-        key |= out[j : len(out) - order + j] << np.uint64(9 * (order - j))
-    ends = off[1:] + order * np.arange(n)  # where each text's end stands in key
+    place = np.arange(len(buf)) + np.repeat(order * np.arange(1, n + 1), np.diff(off))
+    out[place] = vec.LOWER[buf]
+    key = out[: len(out) - order]
+    for j in range(1, order + 1):
+        key = (key << np.uint64(9)) | out[j : len(out) - order + j]
     keep = np.zeros(len(key), bool)
-    keep[np.arange(len(buf)) + order * doc] = True
-    keep[ends] = True
-    return key[keep], off + np.arange(n + 1), ends
+    keep[place - order] = True
+    keep[off[1:] + order * np.arange(n)] = True  # where each text's end stands
+    return key[keep], off + np.arange(n + 1)
 
 
 def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +60,7 @@ def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Token counts (kind 0) and n-gram counts (kind 1) of a partition, added up every few million."""
+    """Token counts (kind 0) and n-gram counts (kind 1) of a partition, added up now and then."""
     held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
 
     def merged(kind: int) -> pa.RecordBatch:
@@ -68,11 +69,11 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
 
     for batch in batches:
-        for _, _, buf, off in vec.chunks(batch.column(0)):
+        for _, _, buf, off in vec.chunks(batch.column(0), CHUNK):
             held[0].append(vec.counted(_tokens(buf, off)[0]))
             held[1].append(vec.counted(symbols(buf, off, order)[0]))
             for kind in (0, 1):
-                if sum(len(k) for k, _ in held[kind]) > 4_000_000:
+                if sum(len(k) for k, _ in held[kind]) > HELD:
                     yield merged(kind)
     for kind in (0, 1):
         if held[kind]:
@@ -189,7 +190,7 @@ def fit(texts: DataFrame, order: int = ORDER, trie_share: int = TRIE_SHARE, head
     tokens. Null is the empty text. No rows leave a model that gives every symbol the same probability.
     """
     rows = texts.select("text").mapInArrow(partial(_count, order=order), "kind byte, key long, n long")
-    counts = cut(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = cut(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts", "kind")
     tokens = counts.filter("kind = 0").select("key", "n")
     number = {r[0]: (r[1], r[2]) for r in counts.groupBy("kind").agg(F.sum("n"), F.count("*")).collect()}
     n, distinct = number.get(0, (0, 0))
@@ -206,8 +207,7 @@ def fit(texts: DataFrame, order: int = ORDER, trie_share: int = TRIE_SHARE, head
     level = counts.filter("kind = 1").select("key", "n")
     for d in range(order, -1, -1):
         if d < order:
-            level = level.groupBy(F.col("key").bitwiseAND((1 << (9 * (d + 1))) - 1).alias("key")).agg(F.sum("n").alias("n"))
-            level = cut(level, "grams") if d == order - 1 else level
+            level = cut(level.groupBy(F.col("key").bitwiseAND((1 << (9 * (d + 1))) - 1).alias("key")).agg(F.sum("n").alias("n")), "grams")
         grams.append(sorted_(level.filter(F.col("n") >= least), "n"))
         up = level.groupBy(F.shiftright("key", 9).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("q"))
         contexts.append(sorted_(up.filter(F.col("n") >= least), "n", "q"))
@@ -215,16 +215,28 @@ def fit(texts: DataFrame, order: int = ORDER, trie_share: int = TRIE_SHARE, head
     return Model(order, build(grams[::-1], contexts[::-1]), head, head_count, n, distinct, tokens)
 
 
+_ready: dict[int, tuple[Scorer, vec.HashIndex, np.ndarray]] = {}
+
+
+def _tables(sent) -> tuple[Scorer, vec.HashIndex, np.ndarray]:
+    """The lookup tables of a model, built once in a worker; those of an earlier model go."""
+    key = id(sent.value)
+    if key not in _ready:
+        _ready.clear()
+        _, tries, head, head_count = sent.value
+        _ready[key] = Scorer(tries), vec.HashIndex(head), np.log10(head_count + 0.1)
+    return _ready[key]
+
+
 def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     """A row for each text (key null), and one for each of its tokens that the head doesn't have."""
-    order, tries, head, head_count, n, distinct = sent.value
-    scorer, index = Scorer(tries), vec.HashIndex(head)
-    logs = np.log10(head_count + 0.1)
+    order = sent.value[0]
+    scorer, index, logs = _tables(sent)
     names = ["rid", "doc_id", "key", "n", "n_known", "base", "score"]
     for batch in batches:
-        for lo, hi, buf, off in vec.chunks(batch.column(2)):
+        for lo, hi, buf, off in vec.chunks(batch.column(2), CHUNK):
             rid, ids, rows = batch.column(0)[lo:hi], batch.column(1)[lo:hi], hi - lo
-            key, at, _ = symbols(buf, off, order)
+            key, at = symbols(buf, off, order)
             score = np.add.reduceat(scorer.log10(key), at[:-1])
             h, ptr = _tokens(buf, off)
             row = index.find(h)
@@ -250,7 +262,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     whose only token and symbol is the end. Repeated rows come back repeated.
     """
     sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((model.order, model.tries, model.head, model.head_count, model.n, model.distinct))
+    sent = sc.broadcast((model.order, model.tries, model.head, model.head_count))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     done = cut(rows.mapInArrow(partial(_score, sent=sent), "rid long, doc_id long, key long, n long, n_known long, base double, score double"), "scores")
     tail = done.filter("key is not null").select("rid", "key", "n").join(model.tokens.select("key", F.col("n").alias("c")), "key", "left")

@@ -30,15 +30,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as a table of the shared folder and read it again.
+def cut(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a frame as a table of the shared folder, in folders by some columns, and read it again.
 
     What follows restarts from files that outlive executors, instead of from the plan.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def drop(spark: SparkSession, path: str) -> None:
