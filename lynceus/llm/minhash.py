@@ -161,6 +161,40 @@ def _blocks(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator
             yield _edges_of(done)
 
 
+def _rest(left: DataFrame) -> DataFrame:
+    """Units (key, u2, u3, doc_id, tag) that bring together every two members of a bucket with different tags.
+
+    left: (key, doc_id, tag). A bucket's largest component is dealt in blocks, and so are all its other
+    members. Blocks of the one meet blocks of the others (u2 >= 0), and blocks of the others each other
+    (u2 < 0); the largest component's blocks don't meet, as they have nothing to find.
+    """
+    part = left.groupBy("key", "tag").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.sum(F.pmod(F.hash("doc_id"), F.lit(1 << 30))).alias("x2"))
+    mixed = part.groupBy("key").agg(F.max_by("tag", F.struct("n", "tag")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("m"), F.bit_xor("x1").alias("x1"), F.sum("x2").alias("x2")).filter("most < m and m > 2")
+    # of buckets with the same members one is enough
+    alike = mixed.groupBy("x1", "x2", "m").agg(F.min(F.struct("key", "main", "most", "m")).alias("b")).select("b.*")
+    blocks = lambda n: F.ceil(n / UNIT).cast("int")
+    alike = alike.select("key", "main", blocks(F.col("most")).alias("s"), blocks(F.col("m") - F.col("most")).alias("t"))
+    rest = left.join(alike, "key")
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda a, b: F.struct(a.cast("int").alias("u2"), b.cast("int").alias("u3"))
+    inner = F.transform(upto("t"), lambda j: place(block(F.col("s")), j))
+    outer = F.concat(F.transform(upto("s"), lambda i: place(i, block(F.col("t")))), F.transform(upto("t"), lambda j: place(-1 - F.least(block(F.col("t")), j), F.greatest(block(F.col("t")), j))))
+    rest = rest.withColumn("u", F.explode(F.when(F.col("tag") == F.col("main"), inner).otherwise(outer)))
+    return rest.select("key", "u.u2", "u.u3", "doc_id", "tag")
+
+
+def _labelled(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows with the class of their set. Sets of at least 1/4096 of all rows, so 4096 of them at most, are broadcast."""
+    by = ["f1", "f2", "n_shingles"]
+    least = max(1000, -(-rows.count() // 4096))
+    common = named.filter(F.col("copies") >= least)
+    many = common.select(*by, F.col("class").alias("many"))
+    rows = rows.join(F.broadcast(many), by, "left")
+    few = rows.filter("many is null").drop("many").join(named.drop("copies"), by, "left")
+    return few.unionByName(rows.filter("many is not null").withColumnRenamed("many", "class"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Group documents whose shingle sets have 100 * intersection >= percent * union.
 
@@ -180,7 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketch = cut(base.mapInArrow(partial(_sketch, k=words, bands=bands, rows=rows), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"), "sketch")
     part = sketch.filter("n_shingles > 0 and doc_id is not null")
-    same = part.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    same = part.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = part.join(same.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     bucket = keys.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("pivot < last")
@@ -198,19 +232,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     links = cut(unit.mapInArrow(partial(_stars, k=words, percent=percent), "a long, b long"), "links")
     groups = cut(components(links), "groups")
 
-    left = member.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("tag"), "n")
-    mixed = left.groupBy("key").agg(F.min("tag").alias("t0"), F.max("tag").alias("t1"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("doc_id")).alias("x1"), F.sum(F.pmod(F.hash("doc_id"), F.lit(1 << 30))).alias("x2")).filter("t0 < t1 and m > 2")
-    alike = mixed.groupBy("x1", "x2", "m").agg(F.min("key").alias("key"))  # of buckets with the same members one is enough
-    alike = alike.select("key", F.ceil(F.col("m") / UNIT).cast("int").alias("s"))
-    rest = left.join(alike, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "s").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("u2"), F.greatest("block", "other").alias("u3"), "doc_id", "tag")
-    unit = rest.join(text, "doc_id").select("key", "u2", "u3", "doc_id", "tag", "text").repartition(parts, "key", "u2", "u3").sortWithinPartitions("key", "u2", "u3")
+    left = member.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("tag"))
+    unit = _rest(left).join(text, "doc_id").select("key", "u2", "u3", "doc_id", "tag", "text").repartition(parts, "key", "u2", "u3").sortWithinPartitions("key", "u2", "u3")
     more = cut(unit.mapInArrow(partial(_blocks, k=words, percent=percent), "a long, b long"), "links")
     if not more.isEmpty():
         groups = cut(components(links.union(more)), "groups")
 
-    named = same.join(groups, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("class"))
-    out = sketch.drop("bands").join(named, ["f1", "f2", "n_shingles"], "left")
+    named = same.join(groups, F.col("rep") == F.col("node"), "left").select("f1", "f2", "n_shingles", "copies", F.coalesce("component", "rep").alias("class"))
+    out = _labelled(sketch.drop("bands"), named)
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
