@@ -27,8 +27,9 @@ WINDOW = 50
 GRAM = 12
 #: Words of one FM-index; a shard that gets more builds several, cut between anchors.
 SHARD_WORDS = 400_000
-#: Anchors with more distinct segments than this are cut anew, window by window.
+#: Anchors with more distinct segments than this, or more words than an index, are cut anew, window by window.
 HOT = 2_000
+SALTS = 16
 
 
 class WaveletMatrix:
@@ -257,14 +258,20 @@ def _contents(batches: Iterator[pa.RecordBatch], hot: bool, window: int) -> Iter
                 np.cumsum(h * _power(len(h), int(vec.K1)), out=prefix[1:])
                 unpower = _power(len(h) + 1, _INVERSE)
             for d in range(hi - lo):
+                seen: set[int] = set()  # a window's words are sent once for a document
                 for w in want[lo + d].as_py() or ():
                     a, b = int(ptr[d]) + w["first"], int(ptr[d]) + w["first"] + w["size"]
+                    if b > ptr[d + 1]:  # of another text with this doc_id
+                        continue
                     if not hot:
                         rows.append((ids[lo + d].as_py(), None, w["anchor"], w["segment"], w["first"], w["size"], raw[starts[a] : ends[b - 1]]))
                         continue
                     i = np.arange(a, b - window + 1)
                     key = vec.mix((prefix[i + window] - prefix[i]) * unpower[i] + vec.K2).view(np.int64)
-                    rows += [(ids[lo + d].as_py(), keys[lo + d].as_py(), k, k, j - int(ptr[d]), window, raw[starts[j] : ends[j + window - 1]]) for j, k in zip(i.tolist(), key.tolist(), strict=True)]
+                    for j, k in zip(i.tolist(), key.tolist(), strict=True):
+                        text = None if k in seen else raw[starts[j] : ends[j + window - 1]]
+                        seen.add(k)
+                        rows.append((ids[lo + d].as_py(), keys[lo + d].as_py(), k, k, j - int(ptr[d]), window, text))
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "text_key", "anchor", "segment", "first", "size", "content"])
@@ -307,7 +314,7 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iter
                 for s in batch.column("cuts")[lo + d].as_py():
                     places = [*s["places"], s["size"] - window + 1]
                     for a, b, doc in zip(places[:-1], places[1:], s["docs"], strict=True):
-                        if doc < me:
+                        if doc < me and s["first"] + b - 1 + window <= len(w):
                             gone[s["first"] + a] += 1
                             gone[s["first"] + b - 1 + window] -= 1
                 keep = np.cumsum(gone[:-1]) == 0
@@ -328,9 +335,13 @@ def _cuts(docs: DataFrame, window: int, gram: int, texts: bool, hot: int, shard_
     many = segments.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1").select("anchor")
     common = cut(segments.join(many, "anchor", "left_semi"), "common")
     own = common.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "text_key", "first", "size")).alias("r"))
-    busy = own.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor", F.lit(True).alias("busy"))
-    plain = own.join(busy, "anchor", "left_anti").select("r.doc_id", "r.text_key", F.struct("r.first", "r.size", "anchor", "segment").alias("w"), F.lit(None).cast("struct<first:int,size:int,anchor:bigint,segment:bigint>").alias("v"))
-    each = common.join(busy, "anchor", "left_semi").select("doc_id", "text_key", F.lit(None).cast("struct<first:int,size:int,anchor:bigint,segment:bigint>").alias("w"), F.struct("first", "size", "anchor", "segment").alias("v"))
+    # the segments of a busy anchor are spread over salts, and the few busy anchors repeated for each
+    salt = F.pmod(F.xxhash64("segment"), F.lit(SALTS)).cast("int")
+    load = own.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("r.size").alias("words"))
+    busy = load.filter((F.col("n") > hot) | (F.col("words") > shard_words)).select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    own, spread = own.withColumn("salt", salt), common.withColumn("salt", salt)
+    plain = own.join(busy, ["anchor", "salt"], "left_anti").select("r.doc_id", "r.text_key", F.struct("r.first", "r.size", "anchor", "segment").alias("w"), F.lit(None).cast("struct<first:int,size:int,anchor:bigint,segment:bigint>").alias("v"))
+    each = spread.join(busy, ["anchor", "salt"], "left_semi").select("doc_id", "text_key", F.lit(None).cast("struct<first:int,size:int,anchor:bigint,segment:bigint>").alias("w"), F.struct("first", "size", "anchor", "segment").alias("v"))
     touched = common.select("doc_id", "text_key", F.lit(None).cast("struct<first:int,size:int,anchor:bigint,segment:bigint>").alias("w"), F.lit(None).cast("struct<first:int,size:int,anchor:bigint,segment:bigint>").alias("v")).distinct()
     want = plain.union(each).union(touched).groupBy("doc_id").agg(F.collect_list("w").alias("want"), F.collect_list("v").alias("hot"), F.min("text_key").alias("text_key"))
     text = cut(base.join(want, "doc_id"), "texts")
@@ -343,7 +354,7 @@ def _cuts(docs: DataFrame, window: int, gram: int, texts: bool, hot: int, shard_
     shards = cold.union(warm).repartition(parts, "anchor").sortWithinPartitions("anchor")
     runs = cut(shards.mapInArrow(partial(_search, window=window, limit=shard_words), "anchor long, segment long, places array<int>, docs array<long>"), "runs")
 
-    places = common.join(busy, "anchor", "left_anti").unionByName(single.select("doc_id", "text_key", "anchor", "segment", "first", "size"))
+    places = spread.join(busy, ["anchor", "salt"], "left_anti").drop("salt").unionByName(single.select("doc_id", "text_key", "anchor", "segment", "first", "size"))
     found = places.join(runs, ["anchor", "segment"]).filter(F.exists("docs", lambda x: x < F.col("doc_id")))
     cuts = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "size", "places", "docs")).alias("cuts"))
     less = text.select("doc_id", "text", "text_key").join(cuts, "doc_id")
