@@ -28,7 +28,7 @@ def prefixes(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = rows.withColumn("position", F.col("n") + F.col("earlier")).withColumn("e1", F.xxhash64("position", "role", "text")).withColumn("e2", F.xxhash64("text", F.lit(1), "role", "position"))
     whole = rows.groupBy("conv_id", "chunk").agg(F.bit_xor("e1").alias("x1"), F.bit_xor("e2").alias("x2"))
     whole = whole.select("conv_id", "chunk", *[F.coalesce(F.bit_xor(x).over(before), F.lit(0)).alias(x) for x in ("x1", "x2")])
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("conv_id", "chunk").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("p1", F.bit_xor("e1").over(upto)).withColumn("p2", F.bit_xor("e2").over(upto)).join(whole, ["conv_id", "chunk"])
     return rows.select("conv_id", "chunk", "position", "turns", F.col("p1").bitwiseXOR(F.col("x1")).alias("h1"), F.col("p2").bitwiseXOR(F.col("x2")).alias("h2"), "role", "text")
 
