@@ -17,8 +17,15 @@ from lynceus.llm.minhash import near_duplicates
 from lynceus.llm.packing import pack
 from lynceus.llm.queries import tokenizer
 from lynceus.llm.shared import cut
+from lynceus.session import ready
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(f: Stage) -> Stage:
+    """A stage whose session's workers can import the operators."""
+    return lambda spark, docs, sf_dir: f(ready(spark), docs, sf_dir)
 
 
 def _counted(docs: DataFrame, before: DataFrame) -> DataFrame:
@@ -55,12 +62,12 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, tokenizer())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language),
-    ("minhash_dedup", near_duplicate),
-    ("substring_dedup", substrings),
-    ("decontaminate", benchmark),
-    ("best_fit_packing", packing),
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", _stage(language)),
+    ("minhash_dedup", _stage(near_duplicate)),
+    ("substring_dedup", _stage(substrings)),
+    ("decontaminate", _stage(benchmark)),
+    ("best_fit_packing", _stage(packing)),
 ]
 
 #: SQL has no tokenizer and no centroids; the tests hold the pipeline against brute force.
