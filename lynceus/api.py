@@ -13,6 +13,7 @@ from lynceus.operators import lookup
 from lynceus.operators.algorithms import listed
 from lynceus.operators.filters import MatchParams
 from lynceus.plans.match import Index, match, respond
+from lynceus.session import planned
 from lynceus.sources import store
 from lynceus.sources.catalog import Catalog
 
@@ -41,6 +42,9 @@ class Engine:
     index: Index
     catalog_: Catalog | None = None
 
+    def __post_init__(self) -> None:
+        planned(self.spark)
+
     def match(self, queries: Mapping[str, Mapping[str, Any]], params: MatchParams | None = None, body: Mapping[str, Any] | None = None) -> DataFrame:
         """Match named query entities {id: {schema, properties, filters?, params?}} as one batch.
 

@@ -20,6 +20,9 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
+    from lynceus.session import planned
+
+    planned(s)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
