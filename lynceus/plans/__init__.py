@@ -1 +1 @@
-"""Subpackage of lynceus; see the README for its contents."""
+"""Plans over entities, and the registered queries."""

@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from lynceus.plans import more_queries  # noqa: F401
 from lynceus.plans.queries import ORACLE_SQL, QUERIES
 from tests.oracle import connect, same
 
