@@ -39,7 +39,7 @@ def report(feature: str) -> str:
     return "country_mismatch" if feature == "country_mismatch_all" else feature
 
 
-# The features, order and weights of the published algorithms.
+# The names, features, order and weights of the published algorithms.
 _NAMES: Weighted = (("name_literal_match", 1.0), ("person_name_jaro_winkler", 0.8), ("person_name_phonetic_match", 0.9), ("name_fingerprint_levenshtein", 0.9))
 _IDS: Weighted = (
     ("address_entity_match", 0.98), ("crypto_wallet_match", 0.98), ("isin_security_match", 0.98), ("lei_code_match", 0.95), ("ogrn_code_match", 0.95),

@@ -485,7 +485,7 @@ _algorithm("algo1_name_based", "name-based", people_pairs, None)
 _algorithm("algo2_name_qualified", "name-qualified", people_pairs, None)
 _algorithm("algo3_logic_v1", "logic-v1", people_pairs, None)
 _algorithm("algo3_logic_v1_companies", "logic-v1", org_pairs, None)
-_algorithm("algo4_marble_v0", "marble-v0", people_pairs, None)
+_algorithm("algo4_subsequence_and_dates", "marble-v0", people_pairs, None)
 _algorithm("algo3_logic_v1_vessels", "logic-v1", part_pairs, None)
 # weights of 0 take the kernel features out, which leaves what SQL can say
 _NATIVE = {"person_name_jaro_winkler": 0.0, "person_name_phonetic_match": 0.0, "name_fingerprint_levenshtein": 0.0, "address_entity_match": 0.0}
