@@ -1,10 +1,13 @@
 """LM scoring: prediction by partial matching over bytes, with escapes and symbol exclusion.
 
 The trie of byte contexts up to ORDER is counted over all training texts. A symbol is coded at the longest
-context of the trie that has it; each longer one adds an escape (method C: the number of distinct symbols,
-and whatever the trie left out), and symbols of a longer context are excluded from the shorter ones. As the
-symbols of a context are symbols of its suffix too, what exclusion takes from a shorter context depends on
-the next longer one alone, so every probability is a few table reads and texts are scored in bulk.
+context of the trie that has it; each longer one adds an escape (method C: the number of distinct symbols),
+and symbols of a longer context are excluded from the shorter ones. As the symbols of a context are symbols
+of its suffix too, what exclusion takes from a shorter context depends on the next longer one alone, so
+every probability is a few table reads. The whole trie is two tables of the shared folder, grams and
+contexts of all orders; the most frequent grams' probabilities are looked up where the text is, those of
+the others, seen or not, come by joins. A trie cut to a share of all places (trie_share) is read in bulk
+instead; what it left out goes to its escapes.
 
 A text is its bytes, A-Z lower-cased, and one end. Symbol 256 is the end, and what stands before a text.
 """
@@ -17,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.llm import vec
@@ -26,8 +29,10 @@ from lynceus.llm.shared import cut
 ORDER = 5
 END = 256
 SYMBOLS = 257
-#: An n-gram stays in the trie with at least this share of all places, so an order has at most 2^21 of them.
-TRIE_SHARE = 1 << 21
+#: So many of the most frequent grams, at most, are looked up where the text is; the others by a join.
+GRAM_HEAD = 1 << 21
+#: Grams of up to this order, and contexts of one more, are few and on the path of very many keys: they are broadcast.
+LOW = 1
 #: Tokens with at least this share of all tokens, at most 2^21, are looked up where the text is; the others by a join.
 HEAD_SHARE = 1 << 21
 #: Bytes of text taken at once, and counts held before they are added up.
@@ -171,7 +176,11 @@ class Scorer:
 
 @dataclass
 class Model:
-    """order, trie, counts of frequent tokens, and the table of all token counts."""
+    """order, trie, counts of frequent tokens, and the table of all token counts.
+
+    The whole trie is grams (d, key, n) and contexts (d, key, total, q distinct symbols, gone: what these
+    count in the suffix), with the log10 probabilities of frequent grams. A cut one is tries alone.
+    """
 
     order: int
     tries: list[Trie]
@@ -180,14 +189,56 @@ class Model:
     n: int
     distinct: int
     tokens: DataFrame
-
-
-def fit(texts: DataFrame, order: int = ORDER, trie_share: int = TRIE_SHARE, head_share: int = HEAD_SHARE) -> Model:
+    grams: DataFrame | None = None
+    contexts: DataFrame | None = None
+    top: np.ndarray | None = None
+    top_log10: np.ndarray | None = None
+
+
+def _orders(order: int) -> Column:
+    """(d, key) of a packed gram's suffixes of every order."""
+    return F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND((1 << (9 * (d + 1))) - 1).alias("key")) for d in range(order + 1))))
+
+
+def _tables_of(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """Model.grams and Model.contexts from (key, n) of the longest grams."""
+    grams = cut(counts.select(_orders(order).alias("g"), "n").groupBy("g.d", "g.key").agg(F.sum("n").alias("n")), "grams")
+    below = grams.select((F.col("d") + 1).alias("d"), F.col("key").alias("suffix"), F.col("n").alias("n_below"))
+    both = grams.withColumn("suffix", F.expr("key & (shiftleft(1L, 9 * d) - 1)")).join(below, ["d", "suffix"], "left")
+    contexts = both.groupBy("d", F.shiftright("key", 9).alias("key")).agg(F.sum("n").alias("total"), F.count("*").alias("q"), F.sum("n_below").alias("gone"))
+    return grams, cut(contexts, "contexts")
+
+
+def _log10(keys: DataFrame, model: Model) -> DataFrame:
+    """(key, log10) of distinct packed grams by the whole trie, which may not have them."""
+
+    def with_(rows: DataFrame, table: DataFrame, on: str, low: int) -> DataFrame:
+        table = table.withColumnRenamed("key", on)
+        few = rows.filter(F.col("d") <= low).join(F.broadcast(table.filter(F.col("d") <= low)), ["d", on], "left")
+        return few.unionByName(rows.filter(F.col("d") > low).join(table.filter(F.col("d") > low), ["d", on], "left"))
+
+    rows = keys.select("key", _orders(model.order).alias("g")).select("key", "g.d", F.col("g.key").alias("gram"), F.shiftright("g.key", 9).alias("context"))
+    rows = with_(with_(rows, model.grams, "gram", LOW), model.contexts, "context", LOW + 1)
+    at = rows.groupBy("key").agg(*(F.max(F.when(F.col("d") == d, F.col(c))).alias(f"{c}{d}") for d in range(model.order + 1) for c in ("n", "total", "q", "gone")))
+    out = F.when(F.col("n0").isNull(), -F.log10(SYMBOLS - F.coalesce("q0", F.lit(0)))).otherwise(0.0)
+    for d in range(model.order, -1, -1):
+        n, total, q, coded = F.col(f"n{d}"), F.col(f"total{d}"), F.col(f"q{d}"), F.lit(False)
+        if d < model.order:
+            # a longer context that the trie has takes its symbols out of this one
+            up_q, up_gone = F.coalesce(f"q{d + 1}", F.lit(0)), F.coalesce(f"gone{d + 1}", F.lit(0))
+            total, q, coded = total - up_gone, q - up_q, F.col(f"n{d + 1}").isNotNull()
+        left = F.log10(total + q)
+        out = out + F.when(coded | total.isNull(), 0.0).when(n.isNotNull(), F.log10(n) - left).when(q > 0, F.log10(q) - left).otherwise(0.0)
+    return at.select("key", out.alias("log10"))
+
+
+def fit(texts: DataFrame, order: int = ORDER, trie_share: int | None = None, head_share: int = HEAD_SHARE, gram_head: int = GRAM_HEAD) -> Model:
     """Count tokens and byte contexts over all rows of a text column.
 
-    The counts of all tokens and grams are tables in the shared folder; the driver gets only grams and
-    tokens above a share of all places, so at most trie_share grams and contexts of an order and head_share
-    tokens. Null is the empty text. No rows leave a model that gives every symbol the same probability.
+    The counts of all tokens and grams are tables in the shared folder; the driver gets only the gram_head
+    most frequent grams and tokens above a share of all places, at most head_share. With trie_share, grams
+    and contexts rarer than that share of all places leave the model, and the driver gets the rest. Null is
+    the empty text. No rows leave a model that gives every symbol the same probability.
     """
     rows = texts.select("text").mapInArrow(partial(_count, order=order), "kind byte, key long, n long")
     counts = cut(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts", "kind")
@@ -195,63 +246,99 @@ def fit(texts: DataFrame, order: int = ORDER, trie_share: int = TRIE_SHARE, head
     number = {r[0]: (r[1], r[2]) for r in counts.groupBy("kind").agg(F.sum("n"), F.count("*")).collect()}
     n, distinct = number.get(0, (0, 0))
     places = number.get(1, (0, 0))[0]
-    least = max(1, -(-places // trie_share))
-
     def sorted_(df: DataFrame, *cols: str) -> tuple[np.ndarray, ...]:
         t = df.toArrow()
         key = t.column("key").to_numpy().view(np.uint64)
         o = np.argsort(key)
         return (key[o], *(t.column(c).to_numpy()[o].astype(np.int64) for c in cols))
 
+    top = counts.filter("kind = 1").select("key", "n")
+    head, head_count = sorted_(tokens.filter(F.col("n") >= max(1, -(-n // head_share))), "n")
+    if trie_share:
+        return Model(order, _cut_tries(top, order, max(1, -(-places // trie_share)), sorted_), head, head_count, n, distinct, tokens)
+    grams, contexts = _tables_of(top, order)
+    held, least = 0, max(1, -(-places // gram_head))  # of this count there are gram_head at most
+    for count, number_of in sorted(map(tuple, top.groupBy(F.least("n", F.lit(least)).alias("n")).count().collect()), reverse=True):
+        held += number_of
+        if held > gram_head:
+            break
+        least = count
+    of = contexts.filter(F.col("d") == order).select(F.col("key").alias("of"), "total", "q")
+    often = top.filter(F.col("n") >= least).withColumn("of", F.shiftright("key", 9)).join(of, "of")
+    t = often.select("key", (F.log10("n") - F.log10(F.col("total") + F.col("q"))).alias("log10")).toArrow()
+    return Model(order, [], head, head_count, n, distinct, tokens, grams, contexts, t.column("key").to_numpy().view(np.uint64), t.column("log10").to_numpy())
+
+
+def _cut_tries(level: DataFrame, order: int, least: int, sorted_) -> list[Trie]:
+    """The trie without grams and contexts of a smaller count than least."""
     grams, contexts = [], []
-    level = counts.filter("kind = 1").select("key", "n")
     for d in range(order, -1, -1):
         if d < order:
             level = cut(level.groupBy(F.col("key").bitwiseAND((1 << (9 * (d + 1))) - 1).alias("key")).agg(F.sum("n").alias("n")), "grams")
         grams.append(sorted_(level.filter(F.col("n") >= least), "n"))
         up = level.groupBy(F.shiftright("key", 9).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("q"))
         contexts.append(sorted_(up.filter(F.col("n") >= least), "n", "q"))
-    head, head_count = sorted_(tokens.filter(F.col("n") >= max(1, -(-n // head_share))), "n")
-    return Model(order, build(grams[::-1], contexts[::-1]), head, head_count, n, distinct, tokens)
+    return build(grams[::-1], contexts[::-1])
+
 
+class Head:
+    """log10 probabilities of the whole trie's most frequent grams."""
 
-_ready: dict[int, tuple[Scorer, vec.HashIndex, np.ndarray]] = {}
+    def __init__(self, key: np.ndarray, log10: np.ndarray):
+        self.index, self.logs = vec.HashIndex(key + np.uint64(1)), log10
 
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each packed gram its log10 probability, 0 where the head doesn't have it, and whether it does."""
+        row = self.index.find(key + np.uint64(1))
+        return np.where(row >= 0, self.logs[row] if len(self.logs) else 0.0, 0.0), row >= 0
 
-def _tables(sent) -> tuple[Scorer, vec.HashIndex, np.ndarray]:
+
+_ready: dict[int, tuple[Scorer | Head, vec.HashIndex, np.ndarray]] = {}
+
+
+def _tables(sent) -> tuple[Scorer | Head, vec.HashIndex, np.ndarray]:
     """The lookup tables of a model, built once in a worker; those of an earlier model go."""
     key = id(sent.value)
     if key not in _ready:
         _ready.clear()
-        _, tries, head, head_count = sent.value
-        _ready[key] = Scorer(tries), vec.HashIndex(head), np.log10(head_count + 0.1)
+        _, tries, top, top_log10, head, head_count = sent.value
+        _ready[key] = Scorer(tries) if tries else Head(top, top_log10), vec.HashIndex(head), np.log10(head_count + 0.1)
     return _ready[key]
 
 
+_ROW = "rid long, doc_id long, kind byte, key long, n long, n_known long, base double, score double"
+
+
+def _rest(rid: pa.Array, ptr: np.ndarray, key: np.ndarray, known: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    """A row for each text and key of it that is not known, with its number."""
+    doc, rare = vec.run_ids(ptr)[~known], key[~known]
+    if len(rare):
+        o = np.lexsort((rare, doc))
+        doc, rare = doc[o], rare[o]
+        first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])])
+        tf = np.diff(np.r_[first, len(rare)])
+        k = len(first)
+        yield pa.RecordBatch.from_arrays([rid.take(pa.array(doc[first])), pa.nulls(k, pa.int64()), pa.array(np.full(k, kind, np.int8)), pa.array(rare[first].view(np.int64)), pa.array(tf), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], [c.split()[0] for c in _ROW.split(", ")])
+
+
 def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """A row for each text (key null), and one for each of its tokens that the head doesn't have."""
+    """A row for each text (kind null), and one for each of its tokens (0) and grams (1) that the heads don't have."""
     order = sent.value[0]
     scorer, index, logs = _tables(sent)
-    names = ["rid", "doc_id", "key", "n", "n_known", "base", "score"]
     for batch in batches:
         for lo, hi, buf, off in vec.chunks(batch.column(2), CHUNK):
             rid, ids, rows = batch.column(0)[lo:hi], batch.column(1)[lo:hi], hi - lo
             key, at = symbols(buf, off, order)
-            score = np.add.reduceat(scorer.log10(key), at[:-1])
+            log10, had = scorer.find(key) if isinstance(scorer, Head) else (scorer.log10(key), np.ones(len(key), bool))
+            score = np.add.reduceat(log10, at[:-1])
             h, ptr = _tokens(buf, off)
             row = index.find(h)
             known = row >= 0
             base = np.add.reduceat(np.where(known, logs[row] if len(logs) else 0.0, 0.0), ptr[:-1])
             n_known = np.add.reduceat(known.astype(np.int64), ptr[:-1])
-            yield pa.RecordBatch.from_arrays([rid, ids, pa.nulls(rows, pa.int64()), pa.array(np.diff(ptr)), pa.array(n_known), pa.array(base), pa.array(score)], names)
-            doc, rare = vec.run_ids(ptr)[~known], h[~known]
-            if len(rare):
-                o = np.lexsort((rare, doc))
-                doc, rare = doc[o], rare[o]
-                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (rare[1:] != rare[:-1])])
-                tf = np.diff(np.r_[first, len(rare)])
-                k = len(first)
-                yield pa.RecordBatch.from_arrays([rid.take(pa.array(doc[first])), pa.nulls(k, pa.int64()), pa.array(rare[first].view(np.int64)), pa.array(tf), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([rid, ids, pa.nulls(rows, pa.int8()), pa.nulls(rows, pa.int64()), pa.array(np.diff(ptr)), pa.array(n_known), pa.array(base), pa.array(score)], [c.split()[0] for c in _ROW.split(", ")])
+            yield from _rest(rid, ptr, h, known, 0)
+            yield from _rest(rid, at, key, had, 1)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -262,15 +349,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     whose only token and symbol is the end. Repeated rows come back repeated.
     """
     sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((model.order, model.tries, model.head, model.head_count))
+    sent = sc.broadcast((model.order, model.tries, model.top, model.top_log10, model.head, model.head_count))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    done = cut(rows.mapInArrow(partial(_score, sent=sent), "rid long, doc_id long, key long, n long, n_known long, base double, score double"), "scores")
-    tail = done.filter("key is not null").select("rid", "key", "n").join(model.tokens.select("key", F.col("n").alias("c")), "key", "left")
+    done = cut(rows.mapInArrow(partial(_score, sent=sent), _ROW), "scores")
+    tail = done.filter("kind = 0").select("rid", "key", "n").join(model.tokens.select("key", F.col("n").alias("c")), "key", "left")
     c = F.coalesce("c", F.lit(0))
-    tail = tail.groupBy("rid").agg(F.sum(F.col("n") * F.log10(c + F.lit(0.1))).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("also"))
+    tail = tail.select("rid", (F.col("n") * F.log10(c + F.lit(0.1))).alias("more"), F.when(c > 0, F.col("n")).otherwise(0).alias("also"), F.lit(0.0).alias("grams"))
+    if model.grams is not None:
+        rare = done.filter("kind = 1").select("rid", "key", "n")
+        log10 = cut(_log10(rare.select("key").distinct(), model), "rare")
+        tail = tail.unionByName(rare.join(log10, "key").select("rid", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("also"), (F.col("n") * F.col("log10")).alias("grams")))
+    tail = tail.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("more", "also", "grams")))
     den = float(np.log10(model.n + 0.1 * (model.distinct + 1)))
-    out = done.filter("key is null").join(tail, "rid", "left")
-    return out.select("doc_id", F.col("n").alias("n_tokens"), (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n") * F.lit(den)).alias("base_score"), "score")
+    out = done.filter("kind is null").join(tail, "rid", "left")
+    zero = F.lit(0.0)
+    return out.select("doc_id", F.col("n").alias("n_tokens"), (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", zero) - F.col("n") * F.lit(den)).alias("base_score"), (F.col("score") + F.coalesce("grams", zero)).alias("score"))
 
 
 class AdaptivePPM:

@@ -109,6 +109,25 @@ def test_ppm_against_plain_trie(spark):
                 assert r.score == pytest.approx(trie.text((t or "").encode(), learn=False))
 
 
+def test_ppm_keeps_grams_beyond_its_head(spark):
+    texts = corpus(6, 20)
+    docs = documents(spark, [*texts, "zq xj " * 9])
+    trie = ppm.AdaptivePPM(3)
+    for t in texts:
+        before = (ppm.END,) * 3
+        for s in [*(t or "").encode().lower(), ppm.END]:
+            trie.learn(before, s)
+            before = (*before, s)[1:]
+    train = docs.filter(f"doc_id < {len(texts)}")
+    for head in (1, 50, 1 << 21):
+        model = ppm.fit(train, order=3, gram_head=head)
+        assert len(model.top) <= head
+        got = {r.doc_id: r.score for r in ppm.score(docs, model).collect()}
+        for i, t in enumerate([*texts, "zq xj " * 9]):
+            if len(t or "") < 3000:
+                assert got[i] == pytest.approx(trie.text((t or "").encode(), learn=False))
+
+
 def test_ppm_is_a_distribution_and_survives_nothing(spark):
     trie = ppm.AdaptivePPM(2)
     trie.text(b"abracadabra")
