@@ -203,12 +203,38 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda s: s["n"])
 
 
-def _clean(batches: Iterator[pa.RecordBatch], matcher, text: int, drop_at: int) -> Iterator[pa.RecordBatch]:
+def _merged(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(hits):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _hits(batches: Iterator[pa.RecordBatch], matcher, text: int) -> Iterator[pa.RecordBatch]:
+    """The rows as they are, their last column (starts and ends of hit words, flat) longer by this matcher's."""
+    m: Matcher = matcher.value
+    for batch in batches:
+        for lo, hi, buf, off in vec.chunks(batch.column(text)):
+            part = batch.slice(lo, hi - lo)
+            flat = [[*before, *(x for h in hits for x in h)] for before, (_, _, _, hits, _) in zip(part.columns[-1].to_pylist(), m.scan(buf, off), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(flat, pa.list_(pa.int64()))], names=[str(i) for i in range(part.num_columns)])
+
+
+def _clean(batches: Iterator[pa.RecordBatch], matcher, text: int, drop_at: int, others: bool) -> Iterator[pa.RecordBatch]:
+    """Decide and cut by this matcher's hits and, with others, those in the last column, which goes."""
     m: Matcher = matcher.value
     for batch in batches:
+        found = batch.columns[-1] if others else None
+        batch = batch.select(list(range(batch.num_columns - 1))) if others else batch
         for lo, hi, buf, off in vec.chunks(batch.column(text)):
             raw, texts, keep = buf.tobytes(), [], []
+            more = found[lo:hi].to_pylist() if others else None
             for d, (n, starts, _, hits, _) in enumerate(m.scan(buf, off)):
+                if more and more[d]:
+                    hits = _merged([*hits, *zip(more[d][::2], more[d][1::2], strict=True)])
                 hit = sum(b - a for a, b in hits)
                 keep.append(not (hit and drop_at * hit >= n))
                 a = int(off[d])
@@ -228,14 +254,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
     """docs without contamination: a document of which 1/drop_at of the words or more are hit goes; of
     the others only the hit words go, each with the bytes up to the next word. All columns stay.
 
-    With items beyond item_bytes in all, the automata are applied one after the other.
+    With items beyond item_bytes in all, every automaton reads the text as it came; the last one decides
+    and cuts by the hits of all.
     """
     sc = docs.sparkSession.sparkContext
     text = docs.columns.index("text")
-    out = docs
-    for m in _matchers(benchmark, window, item_bytes):
-        out = out.mapInArrow(partial(_clean, matcher=sc.broadcast(m), text=text, drop_at=drop_at), docs.schema)
-    return out
+    *others, last = (sc.broadcast(m) for m in _matchers(benchmark, window, item_bytes))
+    out = docs.withColumn("__hits", F.array().cast("array<long>")) if others else docs
+    schema = out.schema
+    for m in others:
+        out = out.mapInArrow(partial(_hits, matcher=m, text=text), schema)
+    return out.mapInArrow(partial(_clean, matcher=last, text=text, drop_at=drop_at, others=bool(others)), docs.schema)
 
 
 def digest(report: DataFrame) -> DataFrame:

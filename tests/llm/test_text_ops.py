@@ -35,6 +35,26 @@ def test_decontaminated_texts(spark):
     assert D.decontaminate(docs, bench.limit(0)).count() == 6
 
 
+def test_decontaminated_by_all_automata_at_once(spark):
+    w = lambda p, n: [f"{p}{i}" for i in range(n)]
+    items = [(f"i{k}", " ".join(w(f"k{k}x", 4))) for k in range(12)]
+    docs = [
+        " ".join([*w("a", 97), *(x for k in range(12) for x in w(f"k{k}x", 4)[: 4 if k < 3 else 0]), *w("b", 97)]),
+        " ".join([*w("a", 40), *w("k0x", 4), *w("b", 40)]),
+        " ".join([*w("a", 400), *(x for k in range(3) for x in w(f"k{k}x", 4)), *w("b", 400)]),
+        " ".join([*w("a", 400), "k5x0", "k5x1", *w("k0x", 4), "k5x2", "k5x3", *w("b", 400)]),
+        "none of it",
+        None,
+    ]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    run = lambda size: {r.doc_id: r.text for r in D.decontaminate(frame, bench, window=4, item_bytes=size).collect()}
+    whole = run(1 << 20)
+    assert 0 not in whole and whole[2] == " ".join([*w("a", 400), *w("b", 400)]) and "k5x1 k5x2" in whole[3]
+    for size in (150, 60, 20):
+        assert run(size) == whole
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
