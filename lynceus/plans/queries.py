@@ -398,7 +398,7 @@ def join1_frequent(spark: SparkSession, d: str) -> DataFrame:
     user, kind = F.col("user_id").cast("string"), F.col("event_type")
     e = ev.select(F.concat(F.lit("E"), F.col("event_id").cast("string")).alias("id"), F.explode(F.array(key("user", user), key("type", kind))).alias("k")).select("id", "k.*")
     q = ev.select(F.concat(F.lit("U"), user).alias("id"), F.explode(F.array(F.struct(F.lit("user").alias("kind"), user.alias("key"), F.lit(2.0).alias("boost")), F.struct(F.lit("type").alias("kind"), kind.alias("key"), F.lit(1.0).alias("boost")))).alias("k")).select("id", "k.*").distinct()
-    return R.block(q, e, frequent=ev.count() // 8, enough=1)
+    return R.block(q, e)
 
 
 @query("join1a_fuzzy", "WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT DISTINCT name, unnest(string_split(lower(name), ' ')) AS w FROM n), near AS (SELECT q.name AS q, c.name AS c, count(DISTINCT q.w) AS met FROM w q JOIN w c ON levenshtein(q.w, c.w) <= CASE WHEN length(q.w) <= 2 THEN 0 WHEN length(q.w) <= 5 THEN 1 ELSE 2 END GROUP BY ALL), need AS (SELECT name AS q, count(DISTINCT w) AS need FROM w GROUP BY ALL) SELECT q AS query_id, c AS entity_id, 3.0::DOUBLE AS boost FROM near JOIN need USING (q) WHERE met = need")

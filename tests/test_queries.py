@@ -30,3 +30,13 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["query_id", "entity_id", "rank", "score", "match", "total"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_block_frequent_is_an_or_of_its_keys(spark):
+    rows = [(r.event_id, r.user_id, r.event_type) for r in spark.read.parquet(f"{FOLDER}/events.parquet").collect()]
+    types = {}
+    for _, u, t in rows:
+        types.setdefault(u, set()).add(t)
+    want = {(f"U{u}", f"E{e}"): 2.0 * (u == v) + (t in ts) for u, ts in types.items() for e, v, t in rows if u == v or t in ts}
+    got = {(r.query_id, r.entity_id): r.boost for r in QUERIES["join1_block_frequent"](spark, FOLDER).collect()}
+    assert got == want
