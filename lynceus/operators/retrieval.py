@@ -1,8 +1,7 @@
 """Candidate retrieval: equi-joins on block keys, boosts summed, the best candidates of each query kept.
 
-Keys are columns of both sides, so retrieval is a shuffle by key and one by query. A key that very many
-entities have adds its boost only to candidates that a rarer key has found; queries that rarer keys leave
-short of candidates join on their frequent keys as well.
+Keys are columns of both sides, so retrieval is a shuffle by key and one by query. Every key makes
+candidates, however many entities have it.
 """
 
 from __future__ import annotations
@@ -122,25 +121,11 @@ def fuzzy(queries: DataFrame, entities: DataFrame, expansions: int = 200) -> Dat
     return met.join(need, ["query_id", "name"]).filter("met = need").groupBy("query_id", "entity_id").agg((F.count("*") * FUZZY).alias("boost"))
 
 
-def block(queries: DataFrame, entities: DataFrame, frequent: int | None = None, enough: int = 20) -> DataFrame:
-    """(query_id, entity_id, boost) from keys (id, kind, key, boost) of both sides, boosts summed.
-
-    frequent: keys of more entities than this don't make candidates where rarer ones give a query `enough`.
-    Their boosts still count for every candidate, and queries short of candidates use all keys.
-    """
+def block(queries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(query_id, entity_id, boost) from keys (id, kind, key, boost) of both sides, boosts summed."""
     q = queries.select(F.col("id").alias("query_id"), "kind", "key", "boost").distinct()
     e = entities.select(F.col("id").alias("entity_id"), "kind", "key").distinct()
-    total = lambda df: df.groupBy("query_id", "entity_id").agg(F.sum("boost").alias("boost"))
-    if frequent is None:
-        return total(q.join(e, ["kind", "key"]))
-    often = e.groupBy("kind", "key").count().filter(F.col("count") > frequent).select("kind", "key")
-    rare = total(q.join(often, ["kind", "key"], "left_anti").join(e, ["kind", "key"]))
-    served = rare.groupBy("query_id").count().filter(F.col("count") >= enough).select("query_id")
-    hot = q.join(often, ["kind", "key"], "left_semi")
-    more = rare.select("query_id", "entity_id").join(hot, "query_id").join(e, ["entity_id", "kind", "key"]).select("query_id", "entity_id", "boost")
-    few = hot.join(served, "query_id", "left_anti").join(e, ["kind", "key"]).select("query_id", "entity_id", "boost")
-    extra = total(more.join(served, "query_id", "left_semi").unionByName(few))
-    return total(rare.unionByName(extra))
+    return q.join(e, ["kind", "key"]).groupBy("query_id", "entity_id").agg(F.sum("boost").alias("boost"))
 
 
 def symbol_scores(queries: DataFrame, entities: DataFrame, model: S.Model) -> DataFrame:

@@ -33,7 +33,6 @@ class Index:
     scoped: DataFrame | None = None
     scopes: Mapping[str, Sequence[str]] | None = None
     symbols: bool = False
-    frequent: int | None = None
 
     def parts(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         all_names = group(self.model, "name")
@@ -81,9 +80,9 @@ def candidates(queries: DataFrame, index: Index, params: MatchParams, per_query:
     found = R.fuzzy(q.select("id", "names"), names)
     if index.symbols:
         own = qkeys.filter(~F.col("kind").isin("name_keys", "name_parts", "name_phonetic"))
-        found = found.unionByName(R.block(own, keys, index.frequent)).unionByName(R.symbol_scores(q, keys, model))
+        found = found.unionByName(R.block(own, keys)).unionByName(R.symbol_scores(q, keys, model))
     else:
-        found = found.unionByName(R.block(qkeys, keys, index.frequent))
+        found = found.unionByName(R.block(qkeys, keys))
     found = found.groupBy("query_id", "entity_id").agg(F.sum("boost").alias("boost"))
     hit = rows.select(F.col("id").alias("entity_id"), "id", "schema", "caption", "datasets", "referents", "properties")
     found = found.join(hit, "entity_id").join(queries.select(F.col("id").alias("query_id"), F.col("schema").alias("__q")), "query_id")

@@ -183,4 +183,4 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
 def stream_screening(spark: SparkSession, d: str) -> DataFrame:
     """What a micro-batch of suppliers gives: the sink's frame of a batch is the match plan's."""
     batch = V.suppliers(spark, d)
-    return match(batch, Index(V.companies(spark, d), MODEL, frequent=500), MatchParams(cutoff=0.0, limit=1))
+    return match(batch, Index(V.companies(spark, d), MODEL), MatchParams(cutoff=0.0, limit=1))

@@ -537,12 +537,12 @@ def top2(spark: SparkSession, d: str) -> DataFrame:
 @query("match_end_to_end")
 def match_companies(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers screened against customers with the whole plan."""
-    return match(V.suppliers(spark, d), Index(V.companies(spark, d), MODEL, frequent=500), MatchParams(cutoff=0.0, weights={}))
+    return match(V.suppliers(spark, d), Index(V.companies(spark, d), MODEL), MatchParams(cutoff=0.0, weights={}))
 
 
 @query("match_response")
 def match_response(spark: SparkSession, d: str) -> DataFrame:
-    index, q = Index(V.companies(spark, d), MODEL, frequent=500), V.suppliers(spark, d)
+    index, q = Index(V.companies(spark, d), MODEL), V.suppliers(spark, d)
     return respond(q, match(q, index, MatchParams(cutoff=0.0, limit=2)), index)
 
 

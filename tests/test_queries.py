@@ -1,8 +1,11 @@
 import os
+import sys
 
 import pytest
 
+from lynceus.operators.entities import complete, precompute
 from lynceus.plans import more_queries  # noqa: F401
+from lynceus.plans.match import candidates
 from lynceus.plans.queries import ORACLE_SQL, QUERIES
 from tests.oracle import connect, same
 
@@ -40,3 +43,29 @@ def test_block_frequent_is_an_or_of_its_keys(spark):
     want = {(f"U{u}", f"E{e}"): 2.0 * (u == v) + (t in ts) for u, ts in types.items() for e, v, t in rows if u == v or t in ts}
     got = {(r.query_id, r.entity_id): r.boost for r in QUERIES["join1_block_frequent"](spark, FOLDER).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["match_end_to_end", "match_response", "stream_screening"])
+def test_frequent_keys_find_candidates(spark, tmp_path, monkeypatch, name):
+    """600 companies share several keys with the query, 25 of another country share one rare key with it."""
+    names = [f"Common Holding N{i}" for i in range(600)] + [f"Rareword Q{i}" for i in range(25)]
+    tables = {
+        "nation": spark.createDataFrame([(0, "CHAD"), (1, "PERU")], "n_nationkey int, n_name string"),
+        "customer": spark.createDataFrame([(i, n, int(i >= 600), "M") for i, n in enumerate(names)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        "supplier": spark.createDataFrame([(1, "Common Holding Rareword", 0)], "s_suppkey long, s_name string, s_nationkey int"),
+    }
+    for table, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+
+    class Called(Exception):
+        pass
+
+    def called(*args):
+        raise Called(*args)
+
+    monkeypatch.setattr(sys.modules[QUERIES[name].__module__], "match", called)
+    with pytest.raises(Called) as got:
+        QUERIES[name](spark, str(tmp_path))
+    queries, index, params = got.value.args
+    found = candidates(precompute(complete(queries), index.model), index, params).collect()
+    assert any(int(r.entity_id[1:]) < 600 for r in found)
