@@ -231,7 +231,7 @@ def txt26(spark: SparkSession, d: str) -> DataFrame:
 
 @query("txt27_format_score", "SELECT l_orderkey, l_linenumber, CAST(round(l_discount * l_tax * 10, 3) AS DOUBLE) AS score FROM lineitem WHERE l_orderkey % 2 = 0")
 def txt27(spark: SparkSession, d: str) -> DataFrame:
-    li = V.table(spark, d, "lineitem").filter("l_orderkey % 2 = 0")
+    li = V.table(spark, d, "lineitem")
     return li.select("l_orderkey", "l_linenumber", text.format_score(F.col("l_discount") * F.col("l_tax") * 10).alias("score"))
 
 

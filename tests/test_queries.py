@@ -69,3 +69,7 @@ def test_frequent_keys_find_candidates(spark, tmp_path, monkeypatch, name):
     queries, index, params = got.value.args
     found = candidates(precompute(complete(queries), index.model), index, params).collect()
     assert any(int(r.entity_id[1:]) < 600 for r in found)
+
+
+def test_every_score_is_formatted(spark):
+    assert QUERIES["txt27_format_score"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
