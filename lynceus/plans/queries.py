@@ -434,14 +434,14 @@ _OWN = "o AS (SELECT 'C' || o_custkey AS c, 'O' || o_orderkey AS a, 'W' || o_ord
 @query("join5_enrich", f"WITH {_OWN} SELECT c AS root, c AS parent, 'ownershipOwner' AS prop, w AS child, 1 AS depth FROM o UNION ALL SELECT c, w, 'asset', a, 2 FROM o")
 def join5(spark: SparkSession, d: str) -> DataFrame:
     e = V.relations(spark, d)
-    roots = V.companies(spark, d).filter(_number(F.col("id")) % 50 == 0).select(F.col("id").alias("root"))
+    roots = V.companies(spark, d).select(F.col("id").alias("root"))
     return lookup.enrich(e, MODEL, roots, limit=1_000_000)
 
 
 @query("src3_related", f"WITH {_OWN} SELECT c AS root, w AS id FROM o")
 def src3(spark: SparkSession, d: str) -> DataFrame:
     e = V.relations(spark, d)
-    roots = V.companies(spark, d).filter(_number(F.col("id")) % 50 == 0).select(F.col("id").alias("root"))
+    roots = V.companies(spark, d).select(F.col("id").alias("root"))
     none = spark.createDataFrame([], "root string, id string")
     return lookup.related(e, MODEL, roots, none, none, 1_000_000).select("root", "id")
 

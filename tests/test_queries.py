@@ -73,3 +73,10 @@ def test_frequent_keys_find_candidates(spark, tmp_path, monkeypatch, name):
 
 def test_every_score_is_formatted(spark):
     assert QUERIES["txt27_format_score"](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+
+
+@pytest.mark.parametrize("name, depth", [("join5_enrich", 2), ("src3_related", 1)])
+def test_every_company_is_a_root(spark, name, depth):
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet").select("o_custkey").collect()
+    got = QUERIES[name](spark, FOLDER).collect()
+    assert len(got) == depth * len(orders) and {r.root for r in got} == {f"C{o.o_custkey}" for o in orders}
