@@ -46,7 +46,7 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id", 5))
-    model = langid.fit(docs.filter("not held_out").select("text", "lang"))
+    model = langid.fit(docs.filter("not held_out").select("doc_id", "text", "lang"))
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
