@@ -1,11 +1,15 @@
+import os
+import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lynceus.llm import decontaminate as D
-from lynceus.llm import langid, packing, ppm, toxicity
+from lynceus.llm import langid, packing, ppm, toxicity, vec
 from tests.llm.helpers import corpus, documents, words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -162,7 +166,7 @@ def test_ppm_is_a_distribution_and_survives_nothing(spark):
 
 
 def test_pruned_trie_sums_to_one(spark):
-    texts = [" ".join(words(__import__("random").Random(i), 60, 50)) for i in range(30)]
+    texts = [" ".join(words(random.Random(i), 60, 50)) for i in range(30)]
     model = ppm.fit(documents(spark, texts), order=2, trie_share=300)
     s = ppm.Scorer(model.tries)
     for before in (b"w1", b"w9", b" w", b"zz"):
@@ -170,41 +174,172 @@ def test_pruned_trie_sums_to_one(spark):
         assert (10 ** s.log10(key)).sum() == pytest.approx(1)
 
 
-def test_language_id(spark):
-    rng = __import__("random").Random(1)
+def _languages(n=90):
+    rng = random.Random(1)
     bags = {"aa": ["the", "cat", "sat", "mat"], "bb": ["der", "hund", "läuft", "über"], "cc": ["щука", "рыба"]}
-    rows = [(i, " ".join(rng.choices(bags[l], k=rng.choice([2, 30]))), l) for i, l in enumerate(list(bags) * 30)]
-    docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "12 34!", "aa"), (902, "", None), (903, "cat", None)], "doc_id long, text string, lang string").withColumn("score", F.lit(1))
+    return [(i, " ".join(rng.choices(bags[l], k=rng.choice([2, 30]))), l) for i, l in enumerate((list(bags) * n)[:n])]
+
+
+def test_language_id(spark):
+    rows = _languages()
+    docs = spark.createDataFrame([*rows, (900, None, "aa"), (901, "12 34!", "aa"), (902, "", None), (903, "cat", None)], "doc_id long, text string, lang string").withColumn("score", F.lit(1)).withColumn("__letter", F.lit(7))
     model = langid.fit(docs)
     got = {r.doc_id: r for r in langid.identify(docs, model, prefix="p_").collect()}
     assert sum(got[i].p_lang_pred == l for i, _, l in rows) == len(rows) and not any(got[i].p_rejected for i, _, _ in rows)
     assert all(got[i].p_lang_pred == "und" and got[i].p_score == 0 and got[i].p_rejected for i in (900, 901, 902))
-    assert got[903].p_lang_pred == "aa" and 0 <= got[903].p_score <= 1
+    assert got[903].p_lang_pred == "aa" and 0 <= got[903].p_score <= 1 and got[903].score == 1 and got[903]["__letter"] == 7
+    own = langid.identify(docs, model)
+    assert own.columns == ["doc_id", "text", "lang", "__letter", "lang_pred", "score", "rejected"]
+    assert {r.doc_id: r.score for r in own.collect()} == {i: r.p_score for i, r in got.items()}
     empty = langid.fit(docs.limit(0))
     assert {r.p_lang_pred for r in langid.identify(docs, empty, prefix="p_").collect()} == {"und"}
     assert langid.identify(docs.limit(0), model, prefix="p_").count() == 0
 
 
-def test_toxicity(spark):
-    rng = __import__("random").Random(2)
+def test_language_id_rejects_what_is_far(spark):
+    rng = random.Random(3)
+    rows = [(i, t * 3, l) for i, t, l in _languages(300)]
+    noise = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(60))
+    docs = spark.createDataFrame([*rows, (900, noise, None), (901, "かな文字だけの長い文章です。" * 20, None), (902, rows[0][1], None), (903, rows[0][1], None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs.filter("lang is not null"))).collect()}
+    assert got[900].rejected and got[901].rejected and got[900].lang_pred != "und"
+    assert sum(got[i].rejected for i, _, _ in rows) <= 0.01 * len(rows)
+    assert got[902].lang_pred == got[903].lang_pred == "aa" and got[902].score == got[903].score
+
+
+def test_language_id_against_brute_force(spark):
+    rows = _languages(60) + [(200, "x" * 300_000 + " der hund", "bb"), (201, "The CAT", None), (202, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    mask = (1 << 32) - 1
+    plain = lambda c: c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32
+    for r in langid.identify(docs, model).collect():
+        b, x = [plain(c) for c in r.text.encode()], np.zeros(langid.DIMS)
+        for i in range(len(b) - 1):
+            x[((((b[i] << 8) | b[i + 1]) + (1 << 24)) * 2654435761 & mask) >> 20] += 1
+        for i in range(len(b) - 2):
+            x[(((b[i] << 16) | (b[i + 1] << 8) | b[i + 2]) * 2246822519 & mask) >> 20] += 1
+        x = np.sqrt(x) * model.idf
+        sim = model.centroids @ (x / (np.linalg.norm(x) or 1))
+        assert model.languages[int(sim.argmax())] == r.lang_pred and r.score == pytest.approx(max(0, sim.max()), abs=1e-5)
+        assert r.rejected == (r.score < model.limits[int(sim.argmax()), int(np.log2(len(r.text.encode())))])
+
+
+def test_language_sample_is_bounded_whatever_the_copies(spark):
+    rows = [(i, "the cat sat", "aa") for i in range(3000)] + [(i + 5000, f"der hund {i}", "bb") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    for frame in (docs, docs.select("text", "lang")):
+        model = langid.fit(frame, fit_rows=50)
+        seen.append(set(model.languages))
+        assert {r.lang_pred for r in langid.identify(docs.filter("doc_id in (1, 5001)"), model).collect()} == {"aa", "bb"}
+    assert seen == [{"aa", "bb"}] * 2
+
+
+def test_clusters():
+    rng = np.random.default_rng(1)
+    x = np.abs(np.concatenate([rng.normal(c, 0.05, (50, 5)) for c in np.eye(5)])).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = (x @ langid.cluster(x, 5).T).argmax(axis=1).reshape(5, 50)
+    assert all(len(set(r.tolist())) == 1 for r in own) and len(set(own[:, 0].tolist())) == 5
+    assert len(langid.cluster(x[:1], 4)) == 1 and len(langid.cluster(np.repeat(x[:1], 9, axis=0), 4)) == 1
+
+
+def test_toxicity(spark, monkeypatch):
+    rng = random.Random(2)
     texts = [" ".join(rng.sample(w := words(rng, 60, 300) + (["vile", "scum"] if i % 4 == 0 else []), len(w))) for i in range(400)]
-    docs = documents(spark, [*texts, None, "", "a vile thing"])
+    docs = documents(spark, [*texts, None, "", "a vile thing", "é VILE scum, a", texts[0]], [*range(403), 403, 0])
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(5, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
-    assert all(got[i].predicted == int(i % 4 == 0) for i in range(400))
+    rows = toxicity.score(docs, model).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 405 and len({r.score for r in rows if r.doc_id == 0}) == 1
+    assert sum(got[i].predicted == int(i % 4 == 0) for i in range(400)) >= 396
     assert got[400].score == got[401].score < 0.5 < got[402].score
-    assert [(s.start, s.end) for s in got[402].spans] == [(2, 6)]
+    assert [(s.start, s.end) for s in got[402].spans] == [(2, 6)] and [(s.start, s.end) for s in got[403].spans] == [(2, 11)]
     assert toxicity.score(docs.limit(0), model).count() == 0
-    for some in (labels.limit(0), labels.filter("toxic = 0")):
+    for some in (labels.limit(0), labels.filter("toxic = 0"), labels.filter("toxic = 1 or doc_id = 1")):
         assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, some)).collect()} <= {0, 1}
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda t, y, n: seen.append((len(t), sum(map(len, t)), n)))
+    toxicity.fit(docs, labels, fit_rows=40)
+    toxicity.fit(docs, labels, fit_bytes=4000)
+    assert seen[0][0] == 80 and 2000 < seen[1][1] <= 4000 and seen[0][2] == {0: 225, 1: 75}
+
+
+def test_toxicity_against_brute_force(spark):
+    """Scores and spans of short texts from the model's weights, over all labellings of their tokens."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.sample(w := words(rng, 6, 30) + (["vile", "Scum9"] if i % 3 == 0 else []), len(w))) for i in range(120)]
+    texts += ["", None, "-- !", "vile", "a, vile-scum9 b"]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.node[1:].tolist(), strict=True))
+    for r in toxicity.score(docs, model).collect():
+        text = texts[r.doc_id] or ""
+        found = list(re.finditer(r"[A-Za-z0-9]+", text))
+        hashes = toxicity.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist()
+        assert len(hashes) == len(found)
+        p, _ = toxicity.brute_force([model.node[0] + sum(weight.get(f, 0.0) for f in row) for row in hashes], model.edge)
+        x = [1, np.log1p(sum(p)), max(p, default=0), np.log1p(1000 * sum(p) / max(1, len(p)))]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-np.dot(x, model.logistic))))
+        spans = []
+        for m, q in zip(found, p, strict=True):
+            if q >= 0.5 and spans and spans[-1][2]:
+                spans[-1][1:] = [m.end(), True]
+            elif q >= 0.5:
+                spans.append([m.start(), m.end(), True])
+            elif spans:
+                spans[-1][2] = False
+        assert [(s.start, s.end) for s in r.spans] == [(a, b) for a, b, _ in spans]
+
 
+def test_features_of_tokens():
+    buf = "Ab cde ab\u00e9 12".encode()
+    f, starts, ends, ptr = toxicity.tokens(np.frombuffer(buf + b"ab", np.uint8), np.array([0, len(buf), len(buf), len(buf) + 2]))
+    assert [buf[a:b].decode() for a, b in zip(starts[:4], ends[:4], strict=True)] == ["Ab", "cde", "ab\u00e9", "12"] and ptr.tolist() == [0, 4, 4, 5]
+    assert f[0, 0] == f[4, 0] and f[0, 5] != f[4, 5]  # the word is blind to case, its shape is not
+    assert f[0, 3] == f[4, 3] == f[4, 3] and f[3, 4] == f[4, 4]  # beside the first and last tokens
+    assert len({*f[:, 1].tolist()}) == 4 and f[1, 3] != f[2, 3]
 
-def test_marginals_equal_dense_forward_backward():
+
+def test_forward_backward_against_all_labellings():
     rng = np.random.default_rng(4)
-    model = toxicity.ToxicityModel(np.array([11, 22], np.uint64), np.array([-0.7, 1.5, 2.2]), rng.normal(size=(2, 2)), np.zeros(4))
-    ids = np.zeros(40, np.int64)
-    place = np.array([0, 3, 4, 20, 39])
-    ids[place] = [1, 2, 1, 1, 2]
-    dense, _, _ = toxicity.forward_backward(model.node[ids][None], model.edge, np.ones((1, 40), bool))
-    assert toxicity.Tagger(model).marginals(place, ids[place], 40) == pytest.approx(dense[0, place])
+    edge = np.array([[0, 0.7], [-0.4, 1.2]])
+    node, valid = rng.normal(size=(4, 7)), np.arange(7) < np.array([7, 1, 4, 6])[:, None]
+    marginal, clean, moves = toxicity.forward_backward(node, edge, valid, True)
+    for i, n in enumerate(valid.sum(axis=1).tolist()):
+        p, log_clean = toxicity.brute_force(node[i, :n].tolist(), edge)
+        assert marginal[i, :n] == pytest.approx(p) and clean[i] == pytest.approx(log_clean) and (marginal[i, n:] == 0).all()
+        assert moves[i, 1] + moves[i, 2] == pytest.approx(sum(p[:-1])) and moves[i, 0] + moves[i, 2] == pytest.approx(sum(p[1:]))
+
+
+def test_gradient_of_the_field(monkeypatch):
+    monkeypatch.setattr(toxicity, "STRETCH", 4)
+    rng = np.random.default_rng(7)
+    row, label, ptr = rng.integers(0, 6, (11, 6)), rng.random(11), np.array([0, 3, 3, 11])
+    theta = rng.normal(size=10)
+    theta[6] = 0
+    at = lambda t: toxicity.likelihood(row, ptr, label, t[:6], t[6:].reshape(2, 2))
+    _, by_node, by_edge = at(theta)
+    for i, g in enumerate([*by_node, *by_edge.ravel()]):
+        if i != 6:
+            step = np.eye(10)[i] * 1e-5
+            assert (at(theta + step)[0] - at(theta - step)[0]) / 2e-5 == pytest.approx(g, abs=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_toxicity_on_held_out_rows():
+    import duckdb
+
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.connect().execute(f"SELECT doc_id, coalesce(text, ''), toxic FROM '{d}/labels.parquet' JOIN '{d}/documents.parquet' USING (doc_id) ORDER BY md5(CAST(doc_id AS VARCHAR))").fetchall()
+    out = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i, _, _ in rows])
+    y = np.array([t for _, _, t in rows])
+    model = toxicity.learn([t for (_, t, _), o in zip(rows, out, strict=True) if not o], y[~out])
+    tagger = toxicity.Tagger(model)
+    p, _, _, ptr = tagger.read(*vec.binary(pa.array([t for (_, t, _), o in zip(rows, out, strict=True) if o], pa.string())))
+    score, y = tagger.score(p, ptr), y[out]
+    auc = np.mean((score[y == 1][:, None] > score[y == 0]) + 0.5 * (score[y == 1][:, None] == score[y == 0]))
+    assert auc > 0.85 and (score[y == 0] < 0.5).mean() > 0.98 and (score[y == 1] >= 0.5).mean() > 0.55
