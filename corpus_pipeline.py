@@ -36,7 +36,7 @@ def _counted(docs: DataFrame, before: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go: no text, no letter, or far from every language."""
-    model = langid.fit(docs.filter(~langid.held_out("doc_id", 5)).select("text", "lang"))
+    model = langid.fit(docs.filter(~langid.held_out("doc_id", 5)).select("doc_id", "text", "lang"))
     return langid.identify(docs, model, prefix="__").filter("not __rejected").select(*docs.columns)
 
 
