@@ -2,7 +2,7 @@
 
 What a piece asks of a sequence (tokens, one place, attention cost) follows from its length alone, so the
 packing is worked out on the histogram of lengths, which is as large as the capacity and not as the
-corpus. Bins with equal residuals are one class with a count; the driver places whole runs of equal
+corpus. Bins with about equal residuals are one class with a count; the driver places whole runs of equal
 pieces in whole classes. Each piece then finds its sequence from its rank among the pieces of its length.
 """
 
@@ -22,7 +22,11 @@ from lynceus.llm.shared import cut
 
 CAPACITY = 4096
 END = 1
-SALTS = 64
+#: Shares of tokens, places and attention cost in the choice of a bin: tokens are what sequences are short of,
+#: the others tell bins of about the same token residual apart.
+WEIGHTS = (1.0, 1e-3, 1e-3)
+#: Pieces of one length that one task ranks, and how many such shares there are, at most.
+UNIT, UNITS = 1 << 14, 1 << 18
 #: Words that a worker remembers the tokens of before it starts anew.
 CACHE_WORDS = 1_000_000
 
@@ -126,42 +130,64 @@ class VectorBestFit:
     """Best-fit of (length, number) classes, longest first, into bins with three capacities.
 
     A piece of length n asks for n tokens, one place and n * n of attention cost. Among the classes of
-    open bins that can take it, `norm` chooses the least weighted norm of what would be left, `dot` the
-    greatest weighted dot product of residual and demand, both in shares of the capacities. A capacity
-    that can't bind (as many places as tokens, the square of the tokens) is left out of the classes.
+    open bins that can take it under every capacity, `norm` chooses the least weighted norm of what would be
+    left, `dot` the greatest weighted dot product of residual and demand, both in shares of the capacities.
+    Without a limit of their own, places and attention have the capacities that the tokens imply.
+
+    Bins are one class if their token residuals are equal and the others are within a factor of sqrt(2); the
+    class goes by the least of these. That least is what some bin with as many tokens has left, so capacities
+    that the tokens imply never turn a piece away, and others are kept.
     """
 
-    def __init__(self, tokens: int, places: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0)):
-        full = [tokens, places if places is not None and places < tokens else 0, attention if attention is not None and attention < tokens * tokens else 0]
-        self.full = np.array(full, np.int64)
-        self.bound = self.full > 0
+    def __init__(self, tokens: int, places: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS):
+        self.full = np.array([tokens, tokens if places is None else places, tokens * tokens if attention is None else attention], np.int64)
         self.weights = np.array(weights) / np.maximum(self.full, 1)
         self.rule = rule
-        self.left = np.zeros((0, 3), np.int64)  # residuals of the classes
-        self.bins: list[list[tuple[int, int]]] = []  # (first sequence, sequences) of each class
+        self.left = np.zeros((64, 3), np.int64)  # residuals of the classes; those of unused rows are -1
+        self.left[:] = -1
+        self.bins: list[list[tuple[int, int]]] = [[] for _ in range(64)]  # (first sequence, sequences) of each class
+        self.row: dict[tuple[int, int, int], int] = {}
+        self.unused = list(range(64))
         self.rows: list[tuple[int, int, int, int, int, int]] = []
         self.sequences = 0
 
-    def _ask(self, length: int) -> np.ndarray:
-        return np.where(self.bound, [length, 1, length * length], 0)
+    @staticmethod
+    def _class(left: np.ndarray) -> tuple[int, int, int]:
+        return int(left[0]), *(int(2 * np.log2(x + 1)) for x in left[1:].tolist())
 
     def _best(self, ask: np.ndarray) -> int:
-        fits = np.flatnonzero((self.left >= ask).all(axis=1))
-        fits = [i for i in fits.tolist() if self.bins[i]]
-        if not fits:
+        fits = np.flatnonzero((self.left[:, 0] >= ask[0]) & (self.left[:, 1] >= ask[1]) & (self.left[:, 2] >= ask[2]))
+        if not len(fits):
             return -1
         left = self.left[fits]
         worth = -(((left - ask) * self.weights) ** 2).sum(axis=1) if self.rule == "norm" else (left * ask * self.weights**2).sum(axis=1)
-        return fits[int(worth.argmax())]
+        return int(fits[int(worth.argmax())])
+
+    def _put(self, rest: np.ndarray, got: list[tuple[int, int]]) -> None:
+        """Bins with a residual join its class, or make one."""
+        if not rest[0]:
+            return  # full for good
+        key = self._class(rest)
+        if key not in self.row:
+            if not self.unused:
+                n = len(self.left)
+                self.left = np.concatenate([self.left, np.full((n, 3), -1, np.int64)])
+                self.bins += [[] for _ in range(n)]
+                self.unused = list(range(n, 2 * n))
+            self.row[key] = self.unused.pop()
+            self.left[self.row[key]] = rest
+        k = self.row[key]
+        self.left[k] = np.minimum(self.left[k], rest)
+        self.bins[k] += got
 
     def add(self, length: int, number: int) -> None:
-        ask, rank = self._ask(length), 0
+        ask, rank = np.array([length, 1, length * length], np.int64), 0
         if (ask > self.full).any():
             raise ValueError(f"a piece of {length} tokens fits no sequence")
         while number:
             k = self._best(ask)
-            left = self.left[k] if k >= 0 else self.full
-            copies = int((left[self.bound] // ask[self.bound]).min())
+            left = self.left[k].copy() if k >= 0 else self.full
+            copies = int((left // ask).min())
             take = min(number // copies, sum(n for _, n in self.bins[k]) if k >= 0 else number) or 1
             copies = min(copies, number)
             if k < 0:
@@ -176,20 +202,15 @@ class VectorBestFit:
                     want -= used
                     if n > used:
                         self.bins[k].append((first + used, n - used))
+                if not self.bins[k]:
+                    del self.row[self._class(left)]
+                    self.left[k] = -1
+                    self.unused.append(k)
             for first, n in got:
                 self.rows.append((length, rank, copies, first, int(self.full[0] - left[0]), n))
                 rank += n * copies
             number -= take * copies
-            rest = left - ask * copies
-            same = np.flatnonzero((self.left == rest).all(axis=1))
-            if not len(same):
-                self.left = np.vstack([self.left, rest])
-                self.bins.append([])
-                same = [len(self.bins) - 1]
-            self.bins[int(same[0])] += got
-            if len(self.bins) > 64 and sum(map(bool, self.bins)) * 2 < len(self.bins):
-                keep = [i for i, b in enumerate(self.bins) if b]
-                self.left, self.bins = self.left[keep], [self.bins[i] for i in keep]
+            self._put(left - ask * copies, got)
 
     def table(self) -> np.ndarray:
         """Columns length, first rank, copies in a sequence, first sequence, offset, sequences; sorted."""
@@ -198,13 +219,13 @@ class VectorBestFit:
 
 
 def _place(batches: Iterator[pa.RecordBatch], plan) -> Iterator[pa.RecordBatch]:
-    table, before = plan.value
+    table, first, before = plan.value
     key = (table[:, 0] << 44) | table[:, 1]
     for batch in batches:
         if not batch.num_rows:
             continue
         length, salt, n = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "n"))
-        rank = before[length, salt] + n - 1
+        rank = before[first[length] + salt] + n - 1
         row = table[np.searchsorted(key, (length << 44) | rank, "right") - 1]
         inside = rank - row[:, 1]
         out = batch.drop_columns(["salt", "n"])
@@ -212,7 +233,7 @@ def _place(batches: Iterator[pa.RecordBatch], plan) -> Iterator[pa.RecordBatch]:
         yield out.append_column("offset", pa.array(row[:, 4] + inside % row[:, 2] * length))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, places: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0), ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, places: int | None = None, attention: int | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, ids: bool = False) -> DataFrame:
     """Token pieces of all documents and their places in sequences of at most `capacity` tokens.
 
     docs has doc_id and text; other columns are not read. A document is its ids and END; only longer ones
@@ -220,6 +241,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, places: int
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with ids=True the ids.
     places limits the pieces of a sequence, attention the sum of their squared lengths. An attention limit
     below a piece's own square raises, as that piece fits nowhere.
+
+    Pieces of a length are ranked in shares of about UNIT rows, more rows if there are more than UNITS shares.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -227,16 +250,22 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, places: int
     pieces = cut(base.mapInArrow(partial(_pieces, path=tokenizer, capacity=capacity, ids=ids), schema), "pieces")
     if not ids:
         pieces = pieces.drop("ids")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    before = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, salt, n in pieces.groupBy("length", "salt").count().toPandas().itertuples(index=False):
-        before[length, salt] = n
-    number = before.sum(axis=1)
-    before = np.cumsum(before, axis=1) - before
+    number = np.zeros(capacity + 1, np.int64)
+    for length, n in pieces.groupBy("length").count().collect():
+        number[length] = n
+    salts = np.maximum(1, -(-number // max(UNIT, -(-int(number.sum()) // UNITS))))
+    first = np.cumsum(salts) - salts
+    shares = F.array(*map(F.lit, salts.tolist()))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), shares[F.col("length").cast("int")]).cast("int"))
+    before = np.zeros(int(salts.sum()), np.int64)
+    for length, salt, n in pieces.groupBy("length", "salt").count().collect():
+        before[first[length] + salt] = n
+    before = np.cumsum(before) - before
+    before -= np.repeat(before[first], salts)
     fit = VectorBestFit(capacity, places, attention, rule, weights)
     for length in np.flatnonzero(number)[::-1].tolist():
         fit.add(length, int(number[length]))
-    plan = spark.sparkContext.broadcast((fit.table(), before))
+    plan = spark.sparkContext.broadcast((fit.table(), first, before))
     ranked = pieces.withColumn("n", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")))
     last = ", ids array<int>" if ids else ""
     return ranked.mapInArrow(partial(_place, plan=plan), f"doc_id long, piece int, start long, length long, ids_crc32 long{last}, sequence_id long, offset long")

@@ -80,6 +80,41 @@ def test_packing_round_trip(spark):
     assert packing.pack(documents(spark, []), PATH).count() == 0
 
 
+def test_packing_in_shares(spark, monkeypatch):
+    """Repeated rows, and more pieces of a length than a share takes."""
+    monkeypatch.setattr(packing, "UNIT", 3)
+    docs = documents(spark, ["a b"] * 50 + ["x " * 9000] * 4 + [None] * 20, [*range(40), *[7] * 10, *range(100, 104), *[None] * 20])
+    rows = packing.pack(docs, PATH).collect()
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 4096 and len([r for r in rows if r.length == 1]) == 20
+    assert len(at) == -(-sum(r.length for r in rows) // 4096)
+
+
+def test_packing_keeps_places_and_attention(spark):
+    docs = documents(spark, ["a b c"] * 30 + ["d " * 40] * 10)
+    rows = packing.pack(docs, PATH, capacity=128, places=3, attention=5000).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.sequence_id, []).append(r.length)
+    assert all(sum(x) <= 128 and len(x) <= 3 and sum(n * n for n in x) <= 5000 for x in per.values()) and sum(map(len, per.values())) == len(rows)
+
+
+def test_vector_best_fit_chooses_by_all_three():
+    """Two bins with as many tokens left: the one with fewer places and more attention left is told from the other."""
+    def first(weights, rule):
+        fit = packing.VectorBestFit(100, 100, 10_000, rule, weights)
+        fit._put(np.array([40, 90, 4000]), [(0, 1)])
+        fit._put(np.array([40, 20, 9000]), [(1, 1)])
+        fit.sequences = 2
+        fit.add(10, 1)
+        return fit.rows[0][3]
+
+    assert [first((1, 1, 0), "norm"), first((1, 0, 1), "norm"), first((1, 1, 0), "dot"), first((1, 0, 1), "dot")] == [1, 0, 0, 1]
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_vector_best_fit_keeps_every_limit(rule):
     rng = np.random.default_rng(2)
