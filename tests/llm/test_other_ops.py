@@ -23,6 +23,21 @@ def test_topk_against_brute_force(spark):
     assert [(r.query_id, r.vec_id, r["rank"]) for r in two] == [(0, 1, 1)]
 
 
+@pytest.mark.parametrize(("kind", "top"), [("float", 1.0), ("double", 200.0), ("double", 1e6)])
+def test_topk_in_many_parts(spark, monkeypatch, kind, top):
+    """Clusters far apart, so that most parts are out of reach; every width of integers; vectors of several lengths."""
+    monkeypatch.setattr(topk, "ANNULUS", 8)
+    monkeypatch.setattr(topk, "ANNULI", 2)
+    rng = np.random.default_rng(2)
+    x = np.float32(np.repeat(rng.normal(size=(12, 6)), 25, axis=0) * top + rng.normal(size=(300, 6)) * top / 100)
+    x[::7, 4:] = 0
+    rows = [(i, [float(v) for v in (r[:4] if i % 7 == 0 else r)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got = sorted(map(tuple, topk.topk(df, F.col("vec_id") % 10 == 0, 5, pivots=12).collect()))
+    q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    assert got == sorted(topk.brute_force(list(range(300)), q, list(range(0, 300, 10)), 5))
+
+
 def _brute_chat(rows):
     by = {}
     for c, t, r, x in rows:
