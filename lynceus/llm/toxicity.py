@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lynceus.llm import vec
 
 #: Labelled rows of each class that are learned from, at most, and the bytes of their whole texts, at most.
-FIT_ROWS, FIT_BYTES = 2000, 64 << 20
+FIT_ROWS, FIT_BYTES = 1000, 32 << 20
 STRETCH = 64
 #: Passes over the sample, steps of a pass, the rate of a step and its decay.
 PASSES, STEPS, RATE, DECAY = 6, 8, 0.15, 1e-3
@@ -152,11 +152,13 @@ def labelled(row_hash: np.ndarray, ptr: np.ndarray, y: np.ndarray) -> tuple[np.n
     the word's share of all documents as its prior (Monroe, Colaresi and Quinn 2008).
     """
     text = vec.run_ids(ptr)
-    key, at = np.unique(row_hash, return_inverse=True)
-    at = at.reshape(row_hash.shape)
-    pair = np.unique(at.astype(np.int64) * len(y) + text[:, None])
-    of, d = pair // len(y), pair % len(y)
-    toxic, every = np.bincount(of, y[d], len(key)), np.bincount(of, minlength=len(key))
+    key = vec.distinct(row_hash.ravel())
+    at = np.searchsorted(key, row_hash).astype(np.int32)
+    toxic, every = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    for d in range(len(y)):
+        own = vec.distinct(at[ptr[d] : ptr[d + 1]].ravel())
+        every[own] += 1
+        toxic[own] += y[d]
     a, b = float(y.sum()), float(len(y) - y.sum())
     prior = PRIOR * every / len(y)
     odds = np.log((toxic + prior) / (a + PRIOR - toxic - prior + 1e-9)) - np.log((every - toxic + prior) / (b + PRIOR - every + toxic - prior + 1e-9))
