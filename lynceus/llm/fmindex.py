@@ -2,8 +2,8 @@
 
 Windows go to shards by content: of the word k-grams in a window, the one with the least hash is its
 anchor, so equal windows have equal anchors wherever they stand. Consecutive windows with one anchor form
-a segment. Anchors of a single document need no more work. The distinct segments of the others go, by
-anchor, to shards; a shard's FM-index (a wavelet matrix over the Burrows-Wheeler transform of its
+a segment. Anchors of a single document need no more work; those of very many segments are cut anew, each
+window its own anchor. One copy of each distinct segment goes, by anchor, to a shard; a shard's FM-index (a wavelet matrix over the Burrows-Wheeler transform of its
 segments) is searched backward with the segments streamed word by word, which gives each place its
 matching statistic and suffix range, and each range of at least a window the smallest document in it.
 """
@@ -27,9 +27,12 @@ WINDOW = 50
 GRAM = 12
 #: Words of one FM-index; a shard that gets more builds several, cut between anchors.
 SHARD_WORDS = 400_000
-#: Anchors with more distinct segments than this, or more words than an index, are cut anew, window by window.
+#: Anchors with more distinct segments than this, or more words than an index, are cut anew: each of their windows
+#: is its own anchor, so that equal windows still meet.
 HOT = 2_000
 SALTS = 16
+#: Segments whose places are found by a broadcast, at most; each has at most a window's places.
+MANY = 4096
 
 
 class WaveletMatrix:
@@ -245,36 +248,45 @@ def _list(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(s.doc)), pa.array(s.text_key[s.doc].view(np.int64)), pa.array(s.anchor.view(np.int64)), pa.array(s.segment.view(np.int64)), pa.array(place.astype(np.int32)), pa.array((s.end - s.first).astype(np.int32)), pa.nulls(len(s.first), pa.string())], names)
 
 
-def _contents(batches: Iterator[pa.RecordBatch], hot: bool, window: int) -> Iterator[pa.RecordBatch]:
-    """The words of wanted segments; of hot ones window by window, each a segment of its own."""
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The windows of busy segments, each a segment of its own with itself as anchor; hashes only."""
     for batch in batches:
-        ids, keys, want = batch.column("doc_id"), batch.column("text_key"), batch.column("hot" if hot else "want")
+        ids, keys, busy = (batch.column(c) for c in ("doc_id", "text_key", "busy"))
+        for lo, hi, buf, off in vec.chunks(batch.column("text")):
+            starts, ends, ptr = vec.words(buf, off, vec.SPACED)
+            h = vec.word_hashes(buf, starts, ends)
+            prefix = np.zeros(len(h) + 1, np.uint64)
+            np.cumsum(h * _power(len(h), int(vec.K1)), out=prefix[1:])
+            unpower = _power(len(h) + 1, _INVERSE)
+            part = busy.slice(lo, hi - lo)
+            row = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            flat = part.flatten()
+            first, size = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            own = first + size <= np.diff(ptr)[row]  # else of another text with this doc_id
+            row, first, number = row[own], first[own], (size - window + 1)[own]
+            place = np.repeat(first, number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+            row = np.repeat(row, number)
+            i = ptr[row] + place
+            key = pa.array(vec.mix((prefix[i + window] - prefix[i]) * unpower[i] + vec.K2).view(np.int64))
+            at = pa.array(row + lo)
+            yield pa.RecordBatch.from_arrays([ids.take(at), keys.take(at), key, key, pa.array(place.astype(np.int32)), pa.array(np.full(len(row), window, np.int32))], ["doc_id", "text_key", "anchor", "segment", "first", "size"])
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of wanted segments."""
+    for batch in batches:
+        ids, want = batch.column("doc_id"), batch.column("want")
         for lo, hi, buf, off in vec.chunks(batch.column("text")):
             starts, ends, ptr = vec.words(buf, off, vec.SPACED)
             raw, rows = buf.tobytes(), []
-            if hot:
-                h = vec.word_hashes(buf, starts, ends)
-                prefix = np.zeros(len(h) + 1, np.uint64)
-                np.cumsum(h * _power(len(h), int(vec.K1)), out=prefix[1:])
-                unpower = _power(len(h) + 1, _INVERSE)
             for d in range(hi - lo):
-                seen: set[int] = set()  # a window's words are sent once for a document
-                for w in want[lo + d].as_py() or ():
+                for w in want[lo + d].as_py():
                     a, b = int(ptr[d]) + w["first"], int(ptr[d]) + w["first"] + w["size"]
-                    if b > ptr[d + 1]:  # of another text with this doc_id
-                        continue
-                    if not hot:
-                        rows.append((ids[lo + d].as_py(), None, w["anchor"], w["segment"], w["first"], w["size"], raw[starts[a] : ends[b - 1]]))
-                        continue
-                    i = np.arange(a, b - window + 1)
-                    key = vec.mix((prefix[i + window] - prefix[i]) * unpower[i] + vec.K2).view(np.int64)
-                    for j, k in zip(i.tolist(), key.tolist(), strict=True):
-                        text = None if k in seen else raw[starts[j] : ends[j + window - 1]]
-                        seen.add(k)
-                        rows.append((ids[lo + d].as_py(), keys[lo + d].as_py(), k, k, j - int(ptr[d]), window, text))
+                    if b <= ptr[d + 1]:  # else of another text with this doc_id
+                        rows.append((ids[lo + d].as_py(), w["anchor"], w["segment"], raw[starts[a] : ends[b - 1]]))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "text_key", "anchor", "segment", "first", "size", "content"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "anchor", "segment", "content"])
 
 
 def _search(batches: Iterator[pa.RecordBatch], window: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -333,29 +345,31 @@ def _cuts(docs: DataFrame, window: int, gram: int, texts: bool, hot: int, shard_
     segments = rows.filter("anchor is not null and doc_id is not null").drop("sha")
 
     many = segments.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1").select("anchor")
-    common = cut(segments.join(many, "anchor", "left_semi"), "common")
-    own = common.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "text_key", "first", "size")).alias("r"))
-    # the segments of a busy anchor are spread over salts, and the few busy anchors repeated for each
-    salt = F.pmod(F.xxhash64("segment"), F.lit(SALTS)).cast("int")
-    load = own.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("r.size").alias("words"))
-    busy = load.filter((F.col("n") > hot) | (F.col("words") > shard_words)).select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own, spread = own.withColumn("salt", salt), common.withColumn("salt", salt)
-    plain = own.join(busy, ["anchor", "salt"], "left_anti").select("r.doc_id", "r.text_key", F.struct("r.first", "r.size", "anchor", "segment").alias("w"), F.lit(None).cast("struct<first:int,size:int,anchor:bigint,segment:bigint>").alias("v"))
-    each = spread.join(busy, ["anchor", "salt"], "left_semi").select("doc_id", "text_key", F.lit(None).cast("struct<first:int,size:int,anchor:bigint,segment:bigint>").alias("w"), F.struct("first", "size", "anchor", "segment").alias("v"))
-    touched = common.select("doc_id", "text_key", F.lit(None).cast("struct<first:int,size:int,anchor:bigint,segment:bigint>").alias("w"), F.lit(None).cast("struct<first:int,size:int,anchor:bigint,segment:bigint>").alias("v")).distinct()
-    want = plain.union(each).union(touched).groupBy("doc_id").agg(F.collect_list("w").alias("want"), F.collect_list("v").alias("hot"), F.min("text_key").alias("text_key"))
-    text = cut(base.join(want, "doc_id"), "texts")
-
-    schema = "doc_id long, text_key long, anchor long, segment long, first int, size int, content binary"
-    cold = text.filter(F.size("want") > 0).mapInArrow(partial(_contents, hot=False, window=window), schema).select("doc_id", "anchor", "segment", "content")
-    single = cut(text.filter(F.size("hot") > 0).mapInArrow(partial(_contents, hot=True, window=window), schema), "windows")
-    met = single.groupBy("anchor").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).filter("d0 < d1")
-    warm = single.join(met.select("anchor", "d0"), "anchor").filter("doc_id = d0").groupBy("anchor").agg(F.min("doc_id").alias("doc_id"), F.min("segment").alias("segment"), F.min("content").alias("content")).select("doc_id", "anchor", "segment", "content")
-    shards = cold.union(warm).repartition(parts, "anchor").sortWithinPartitions("anchor")
+    shared = cut(segments.join(many, "anchor", "left_semi"), "shared")
+    each = shared.groupBy("anchor", "segment").agg(F.max("size").alias("size"))
+    # the rows of a busy anchor are spread over salts, and the few busy anchors repeated for each
+    busy = each.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("size").alias("words")).filter((F.col("n") > hot) | (F.col("words") > shard_words))
+    busy = busy.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("busy"))
+    marked = cut(shared.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int")).join(busy, ["anchor", "salt"], "left").drop("salt"), "marked")
+    touched = marked.groupBy("doc_id").agg(F.collect_list(F.when(F.col("busy"), F.struct("first", "size"))).alias("busy"), F.min("text_key").alias("text_key"))
+    text = cut(base.join(touched, "doc_id"), "texts")
+    windows = cut(text.filter(F.size("busy") > 0).mapInArrow(partial(_windows, window=window), "doc_id long, text_key long, anchor long, segment long, first int, size int"), "windows")
+    places = marked.filter("busy is null").drop("busy").unionByName(windows)
+
+    # one document's words for each distinct segment; a window alone needs none if no other document has it
+    own = places.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "first", "size")).alias("r"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    own = cut(own.filter((F.col("r.size") > window) | (F.col("anchor") != F.col("segment")) | (F.col("r.doc_id") < F.col("last"))), "own")
+    want = own.groupBy("r.doc_id").agg(F.collect_list(F.struct("r.first", "r.size", "anchor", "segment")).alias("want"))
+    shards = text.select("doc_id", "text").join(want, "doc_id").mapInArrow(_contents, "doc_id long, anchor long, segment long, content binary")
+    shards = shards.repartition(parts, "anchor").sortWithinPartitions("anchor")
     runs = cut(shards.mapInArrow(partial(_search, window=window, limit=shard_words), "anchor long, segment long, places array<int>, docs array<long>"), "runs")
 
-    places = spread.join(busy, ["anchor", "salt"], "left_anti").drop("salt").unionByName(single.select("doc_id", "text_key", "anchor", "segment", "first", "size"))
-    found = places.join(runs, ["anchor", "segment"]).filter(F.exists("docs", lambda x: x < F.col("doc_id")))
+    # what very many documents have, at most MANY segments, meets its places by a broadcast
+    least = max(1000, -(-places.count() // MANY))
+    common = runs.join(own.filter(F.col("n") >= least).select("anchor", "segment"), ["anchor", "segment"], "left_semi").withColumnsRenamed({"places": "p", "docs": "d"})
+    met = places.join(F.broadcast(common), ["anchor", "segment"], "left")
+    few = met.filter("p is null").drop("p", "d").join(runs, ["anchor", "segment"])
+    found = few.unionByName(met.filter("p is not null").withColumnsRenamed({"p": "places", "d": "docs"})).filter(F.exists("docs", lambda x: x < F.col("doc_id")))
     cuts = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "size", "places", "docs")).alias("cuts"))
     less = text.select("doc_id", "text", "text_key").join(cuts, "doc_id")
     less = less.mapInArrow(partial(_remove, window=window, texts=texts), "doc_id long, text_key long, n_removed long, kept_sha256 string, kept string")
@@ -382,6 +396,14 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     Texts that lose nothing, and all other columns, stay as they are. Rules as in `removed`.
     """
     _, less = _cuts(docs, window, gram, True, hot, shard_words)
-    less = cut(less.select(F.col("doc_id").alias("__id"), "kept").distinct(), "kept")
-    out = docs.join(less, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    return out.select(*[F.coalesce("kept", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    ident, kept = (_fresh(docs, c) for c in ("id", "kept"))
+    less = cut(less.select(F.col("doc_id").alias(ident), F.col("kept").alias(kept)).distinct(), "kept")
+    out = docs.join(less, F.col("doc_id").cast("long") == F.col(ident), "left")
+    return out.select(*[F.coalesce(F.col(kept), docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-CLASH = ("key", "n", "salt", "start", "offset", "rid", "size", "tag", "pivot", "bands", "component", "cuts", "want", "hot", "first", "content", "score", "spans", "items", "digest", "refers_to")
+CLASH = ("key", "n", "salt", "start", "offset", "rid", "size", "tag", "pivot", "bands", "component", "cuts", "want", "hot", "first", "content", "score", "spans", "items", "digest", "refers_to", "kept", "id", "last", "least", "busy")
 
 
 def words(rng, n, vocabulary=400):

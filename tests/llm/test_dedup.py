@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 
 from lynceus.llm import fmindex, minhash, vec
 from lynceus.llm.graph import components, forest
-from tests.llm.helpers import corpus, documents
+from tests.llm.helpers import corpus, documents, words
 
 
 def sets(texts, k):
@@ -103,6 +104,18 @@ def test_substrings_against_brute_force(spark, hot, shard):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {i: (a, b, hashlib.sha256(c).hexdigest()) for i, (a, b, c) in want.items()}
 
 
+def test_a_passage_of_all_documents(spark, monkeypatch):
+    """Busy anchors around a passage that every document has, and segments that meet their places by a broadcast."""
+    monkeypatch.setattr(fmindex, "MANY", 1)
+    rng = random.Random(4)
+    passage = words(rng, 90, 10**6)
+    texts = [" ".join([*words(rng, 30, 10**6), *passage, *words(rng, rng.choice([0, 5, 60]), 10**6)]) for _ in range(1100)]
+    want = without_repeats(texts, list(range(1100)), 50)
+    for hot in (20, 5000):
+        got = fmindex.removed(documents(spark, texts), hot=hot).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {i: (a, b, hashlib.sha256(c).hexdigest()) for i, (a, b, c) in want.items()}
+
+
 def test_substrings_keep_columns_and_untouched_texts(spark):
     long = " ".join(f"p{i}" for i in range(60))
     docs = documents(spark, [long, "own  text\n" + long + " end", None, "  "], [1, 2, 3, 4])
