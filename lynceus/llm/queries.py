@@ -70,8 +70,9 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = warc.write(_table(spark, sf_dir, "pages")).records()
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page's record, found by its URL in the index."""
+    pages = _table(spark, sf_dir, "pages")
+    return warc.write(pages).fetch(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -130,9 +131,35 @@ f AS (SELECT upto, n, min(conv_id) AS conv_id FROM r WHERE p = n GROUP BY upto,
 SELECT conv_id, n AS n_turns, upto AS rendered FROM f WHERE upto NOT IN (SELECT upto FROM r WHERE p < n)
 """
 
+_OP6 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END)) AS s FROM w),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(0) ORDER BY s)) AS h FROM g GROUP BY doc_id),
+rep AS (SELECT h, n, min(doc_id) AS r FROM sets GROUP BY h, n),
+rs AS (SELECT r, n, s FROM rep JOIN g ON doc_id = r),
+pairs AS (SELECT x.r AS a, y.r AS b, any_value(x.n) AS n, any_value(y.n) AS m, count(*) AS c FROM rs x JOIN rs y ON x.s = y.s AND x.r < y.r AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY x.r, y.r),
+e AS (SELECT a, b FROM pairs WHERE 100 * c >= 80 * (n + m - c)),
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT r AS node, r AS root FROM rep UNION SELECT e2.b, reach.root FROM reach JOIN e2 ON e2.a = reach.node),
+comp AS (SELECT node, min(root) AS c FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(c, w.doc_id) AS component_id, coalesce(c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN sets USING (doc_id) LEFT JOIN rep USING (h, n) LEFT JOIN comp ON node = r
+"""
+
+# base 32 by hand: each five hex digits are four digits of five bits
+_BASE32 = "array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || upper(substr(h, (i // 4) * 5 + 1, 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '')"
+_OP10 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN m USING (h)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": _OP4,
     "op5_topk": _OP5,
+    "op6_minhash_dedup": _OP6,
     "op7_decontaminate": _OP7,
     "op9_chat": _OP9,
+    "op10_warc": _OP10,
 }

@@ -2,7 +2,8 @@
 
 Archives hold one gzip member per record, so a record is a byte range. The index sorts captures by
 reversed-host URL key and stores them in compressed blocks; a sparse directory has the first key and the
-range of each block. A lookup searches the directory, then one block, by bisection, and reads one record.
+range of each block. A lookup searches the directory, then the blocks it names, by bisection, and reads the
+records by range; many keys at once (`fetch`) do so in the workers, which all have the directory.
 Files go to the shared folder under names of their own per task attempt; only what a finished task reports
 is ever referred to.
 """
@@ -26,8 +27,13 @@ from pyspark.sql import functions as F
 from lynceus.llm.shared import cut, new_path
 
 ARCHIVE_BYTES = 256 << 20
-#: Captures of an index block; bytes that one range read takes at most, and may skip.
-BLOCK, READ_BYTES, GAP_BYTES = 1000, 8 << 20, 64 << 10
+#: Captures of an index block (more where there would be more than BLOCKS); bytes that one range read takes at
+#: most, and may skip.
+BLOCK, BLOCKS, READ_BYTES, GAP_BYTES = 1000, 1 << 17, 8 << 20, 64 << 10
+#: Payloads whose revisits are found by a broadcast, at most.
+MANY = 4096
+#: What Arrow calls the stores that Spark's connectors name otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -82,8 +88,16 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def _uri(path: str) -> str:
+    """A folder that Spark names, as Arrow names it."""
+    scheme, found, rest = path.partition("://")
+    if found:
+        return f"{SCHEMES.get(scheme, scheme)}://{rest}"
+    return f"file://{path.removeprefix('file:')}"
+
+
 def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(_uri(path))
 
 
 def _store(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -155,29 +169,72 @@ def _ranges(rows: list[list]) -> Iterator[tuple[str, list[list]]]:
         yield run[0][2], run
 
 
-def _read(batches: Iterator[pa.RecordBatch], folder: str, payload: bool) -> Iterator[pa.RecordBatch]:
-    """The records of index blocks."""
-    system, base = _open(folder)
-    files: dict[str, pa.NativeFile] = {}
+class _Files:
+    """Open files of a folder, a bounded number of them."""
+
+    def __init__(self, folder: str):
+        self.system, self.base = _open(folder)
+        self.open: dict[str, pa.NativeFile] = {}
+
+    def __call__(self, name: str) -> pa.NativeFile:
+        if name not in self.open:
+            if len(self.open) > 64:
+                self.open.clear()
+            self.open[name] = self.system.open_input_file(f"{self.base}/{name}")
+        return self.open[name]
 
-    def at(name: str) -> pa.NativeFile:
-        if name not in files:
-            if len(files) > 64:
-                files.clear()
-            files[name] = system.open_input_file(f"{base}/{name}")
-        return files[name]
 
+def _records(captures: list[list], at: _Files, payload: bool) -> Iterator[pa.RecordBatch]:
+    """The records of some captures, by range reads."""
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payload]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * payload]
+    for archive, run in _ranges(captures):
+        lo = run[0][3]
+        data = at(archive).read_at(run[-1][3] + run[-1][4] - lo, lo)
+        out = [parse(zlib.decompress(data[x[3] - lo : x[3] - lo + x[4]], 31)) for x in run]
+        for i in range(0, len(out), 250):
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out[i : i + 250]], k) for n, k in zip(names, kinds, strict=True)], names)
+
+
+def _read(batches: Iterator[pa.RecordBatch], folder: str, payload: bool) -> Iterator[pa.RecordBatch]:
+    """The records of index blocks."""
+    at = _Files(folder)
     for batch in batches:
         for file, offset, length in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length")), strict=True):
-            out = []
-            for archive, run in _ranges(_block(at(file), offset, length)):
-                lo = run[0][3]
-                data = at(archive).read_at(run[-1][3] + run[-1][4] - lo, lo)
-                out += [parse(zlib.decompress(data[x[3] - lo : x[3] - lo + x[4]], 31)) for x in run]
-            for i in range(0, len(out), 250):
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out[i : i + 250]], k) for n, k in zip(names, kinds, strict=True)], names)
+            yield from _records(_block(at(file), offset, length), at, payload)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+
+def _bisect(first: list[str], key: str) -> range:
+    """The blocks that can hold a key, from the blocks' sorted first keys."""
+    return range(max(0, bisect_left(first, key) - 1), bisect_right(first, key))
+
+
+def _locate(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """(block, key) for each key and block that can hold it."""
+    first = [k[0] for k in sent.value]
+    for batch in batches:
+        rows = [(b, key) for key in batch.column(0).to_pylist() for b in _bisect(first, key)]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.string())], ["block", "key"])
+
+
+def _fetch(batches: Iterator[pa.RecordBatch], sent, folder: str, payload: bool) -> Iterator[pa.RecordBatch]:
+    """The records of keys (block, key), sorted: each block is read once, and searched for its keys by bisection."""
+    at, now, captures, keys = _Files(folder), None, [], []
+    wanted: list[list] = []
+    for batch in batches:
+        for block, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != now:
+                yield from _records(wanted, at, payload)
+                now, wanted = block, []
+                captures = _block(at(sent.value[block][1]), *sent.value[block][2:])
+                keys = [c[0] for c in captures]
+            wanted += captures[bisect_left(keys, key) : bisect_right(keys, key)]
+    yield from _records(wanted, at, payload)
 
 
 class Archives:
@@ -185,31 +242,46 @@ class Archives:
 
     def __init__(self, folder: str, directory: DataFrame):
         self.folder, self.directory = folder, directory
-        self._keys: list[tuple] | None = None
+        self._sorted: list[tuple] | None = None
+
+    @staticmethod
+    def _fields(payload: bool) -> str:
+        return "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
+
+    def _blocks(self) -> list[tuple]:
+        """The sparse directory (first key, file, offset, length), about BLOCKS rows at most, read once per object."""
+        if self._sorted is None:
+            self._sorted = sorted(tuple(r) for r in self.directory.select("first_key", "file", "offset", "length").collect())
+        return self._sorted
 
     def records(self, payload: bool = False) -> DataFrame:
-        """Every record, read through the index by byte range."""
-        fields = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
+        """Every record, block by block."""
         parts = int(self.directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return self.directory.repartition(parts, "file", "offset").mapInArrow(partial(_read, folder=self.folder, payload=payload), fields)
+        return self.directory.repartition(parts, "file", "offset").mapInArrow(partial(_read, folder=self.folder, payload=payload), self._fields(payload))
 
-    def lookup(self, url: str) -> list[dict[str, object]]:
-        """The records captured under a URL's key, from the driver: two bisections and range reads.
+    def fetch(self, urls: DataFrame, payload: bool = False) -> DataFrame:
+        """The records captured under the keys of many URLs (a column url; null is the empty URL), each once.
 
-        The sparse directory (a row per block) is read once per object.
+        Distinct keys find their blocks in the directory, and their captures in the blocks, by bisection; the
+        records are read by range. A key of very many captures is looked up block by block, in many tasks.
         """
-        if self._keys is None:
-            self._keys = sorted(tuple(r) for r in self.directory.select("first_key", "file", "offset", "length").collect())
-        key, system_base = surt(url), _open(self.folder)
-        system, base = system_base
-        first = [k[0] for k in self._keys]
-        out = []
-        for _, file, offset, length in self._keys[max(0, bisect_left(first, key) - 1) : bisect_right(first, key)]:
-            rows = _block(system.open_input_file(f"{base}/{file}"), offset, length)
+        spark = self.directory.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        sent = spark.sparkContext.broadcast(self._blocks())
+        keys = urls.select("url").mapInArrow(_keys, "key string").distinct()
+        found = keys.mapInArrow(partial(_locate, sent=sent), "block int, key string")
+        found = found.repartition(parts, "block").sortWithinPartitions("block", "key")
+        return found.mapInArrow(partial(_fetch, sent=sent, folder=self.folder, payload=payload), self._fields(payload))
+
+    def lookup(self, url: str) -> list[dict[str, object]]:
+        """The records captured under a URL's key, from the driver: two bisections and range reads."""
+        key, at, out = surt(url), _Files(self.folder), []
+        for b in _bisect([k[0] for k in self._blocks()], key):
+            _, file, offset, length = self._blocks()[b]
+            rows = _block(at(file), offset, length)
             keys = [r[0] for r in rows]
             for r in rows[bisect_left(keys, key) : bisect_right(keys, key)]:
-                data = system.open_input_file(f"{base}/{r[2]}").read_at(r[4], r[3])
-                out.append(parse(zlib.decompress(data, 31)))
+                out.append(parse(zlib.decompress(at(r[2]).read_at(r[4], r[3]), 31)))
         return out
 
 
@@ -228,9 +300,15 @@ def write(pages: DataFrame, least_bytes: int = 0, block: int = BLOCK) -> Archive
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("digest"))
     part = rows.filter((F.length("html") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "url", "digest")
     answer = part.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("r"), F.count("*").alias("n")).filter("n > 1")
-    again = part.select("page_id", "digest").join(answer, "digest").filter("page_id <> r.page_id").select("page_id", "digest", F.col("r.page_id").alias("refers_to"), F.col("r.url").alias("refers_url")).distinct()
+    # revisits of payloads that very many pages have, at most MANY payloads, are found by a broadcast
+    least = max(1000, -(-pages.count() // MANY))
+    mine = part.select("page_id", "digest").join(F.broadcast(answer.filter(F.col("n") >= least).select("digest", F.col("r").alias("many"))), "digest", "left")
+    few = mine.filter("many is null").drop("many").join(answer.filter(F.col("n") < least).drop("n"), "digest")
+    both = few.unionByName(mine.filter("many is not null").withColumnRenamed("many", "r"))
+    again = both.filter("page_id <> r.page_id").select("page_id", "digest", F.col("r.page_id").alias("refers_to"), F.col("r.url").alias("refers_url")).distinct()
     rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to", "refers_url")
     captures = cut(rows.mapInArrow(partial(_store, folder=folder), "surt string, page_id long, archive string, offset long, length long"), "captures")
-    captures = captures.repartitionByRange(max(1, parts // 4), "surt", "page_id").sortWithinPartitions("surt", "page_id")
-    directory = cut(captures.mapInArrow(partial(_index, folder=folder, size=block), "first_key string, file string, offset long, length long, captures int"), "directory")
+    size = max(block, -(-captures.count() // BLOCKS))
+    captures = captures.repartitionByRange(parts, "surt", "page_id").sortWithinPartitions("surt", "page_id")
+    directory = cut(captures.mapInArrow(partial(_index, folder=folder, size=size), "first_key string, file string, offset long, length long, captures int"), "directory")
     return Archives(folder, directory)

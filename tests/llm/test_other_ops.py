@@ -91,11 +91,36 @@ def test_warc_round_trip(spark):
         assert r.payload == (raw if first else None)
     assert {x["page_id"] for x in a.lookup("https://host1.example.com/p7?q=é#other")} == {7} and len(a.lookup("http://host1.example.com/p7?q=é")) == 2
     assert a.lookup("http://nowhere.example") == []
-    assert warc.write(pages.limit(0)).records().count() == 0
+    by_key = a.fetch(pages, payload=True).collect()
+    assert sorted(by_key, key=repr) == sorted(got, key=repr)
+    assert sorted(r.page_id for r in a.fetch(spark.createDataFrame([("http://host1.example.com/p7?q=é",), ("http://nowhere.example",), ("https://Host1.example.com:80/p7?q=é",)], "url string")).collect()) == [7, 7]
+    assert a.fetch(pages.limit(0)).count() == 0
+    empty = warc.write(pages.limit(0))
+    assert empty.records().count() == empty.fetch(pages).count() == 0
     none = warc.write(pages.filter("page_id < 8"), least_bytes=10**6).records()
     assert {r.record_type for r in none.collect()} == {"response"}
 
 
+def test_keys_and_payloads_of_very_many_pages(spark, monkeypatch):
+    """One key over many blocks; revisits found by the broadcast; blocks that grow to bound the directory."""
+    monkeypatch.setattr(warc, "MANY", 1)
+    monkeypatch.setattr(warc, "BLOCKS", 20)
+    rows = [(i, "http://a.b/" if i % 3 else f"http://c.d/{i}", "same" if i % 2 else f"x{i % 700}") for i in range(2500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a = warc.write(pages, block=10)
+    assert a.directory.count() <= 20 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = {}
+    for i, _, h in rows:
+        last[h] = max(last.get(h, i), i)
+    got = a.fetch(pages).collect()
+    assert len(got) == len(rows) and {r.page_id: r.refers_to for r in got} == {i: None if last[h] == i else last[h] for i, _, h in rows}
+
+
+def test_stores_by_the_names_that_spark_uses():
+    assert warc._open("file:///tmp")[1] == warc._open("file:/tmp")[1] == warc._open("/tmp")[1] == "/tmp"
+    assert [warc._uri(x) for x in ("s3a://b/x", "s3n://b/x", "gs://b/x", "hdfs://h:1/x", "abfs://c@a/x")] == ["s3://b/x", "s3://b/x", "gs://b/x", "hdfs://h:1/x", "abfss://c@a/x"]
+
+
 def test_surt():
     assert warc.surt("http://www.Example.com/a?b#c") == "com,example,www)/a?b"
     assert warc.surt("https://x.org") == warc.surt("http://x.org/") == "org,x)/"
