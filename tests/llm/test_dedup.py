@@ -155,3 +155,22 @@ def test_hash_index_and_words():
     buf, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     starts, ends, ptr = vec.words(buf, off, vec.SPACED)
     assert [bytes(buf[a:b]) for a, b in zip(starts, ends, strict=True)] == [b"ab", b"cd", b"e", b"f"] and ptr.tolist() == [0, 2, 2, 2, 3, 4]
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from lynceus.llm import shared
+
+    conf = lambda **x: SimpleNamespace(get=lambda k, d=None: x.get("at", d))
+    on = lambda master, **x: SimpleNamespace(conf=conf(**x), sparkContext=SimpleNamespace(master=master, getConf=lambda: conf(**x), getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None))
+    assert shared.shared_dir(on("spark://h:1", at="s3a://b/x/")) == "s3a://b/x"
+    assert shared.shared_dir(on("local[4]")).startswith("file://")
+    for master in ("spark://h:1", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(RuntimeError):
+            shared.shared_dir(on(master))
+    t = shared.cut(spark.range(3).toDF("a"), "some")
+    assert t.count() == 3
+    path = shared._made[-1][1]
+    shared.clear(spark)
+    assert path not in [p for _, p in shared._made]
