@@ -14,8 +14,9 @@ A text is its bytes, A-Z lower-cased, and one end. Symbol 256 is the end, and wh
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -193,6 +194,7 @@ class Model:
     contexts: DataFrame | None = None
     top: np.ndarray | None = None
     top_log10: np.ndarray | None = None
+    ident: str = field(default_factory=lambda: uuid.uuid4().hex)  # what workers keep its lookup tables under
 
 
 def _orders(order: int) -> Column:
@@ -293,15 +295,14 @@ class Head:
         return np.where(row >= 0, self.logs[row] if len(self.logs) else 0.0, 0.0), row >= 0
 
 
-_ready: dict[int, tuple[Scorer | Head, vec.HashIndex, np.ndarray]] = {}
+_ready: dict[str, tuple[Scorer | Head, vec.HashIndex, np.ndarray]] = {}
 
 
 def _tables(sent) -> tuple[Scorer | Head, vec.HashIndex, np.ndarray]:
     """The lookup tables of a model, built once in a worker; those of an earlier model go."""
-    key = id(sent.value)
+    key, _, tries, top, top_log10, head, head_count = sent.value
     if key not in _ready:
         _ready.clear()
-        _, tries, top, top_log10, head, head_count = sent.value
         _ready[key] = Scorer(tries) if tries else Head(top, top_log10), vec.HashIndex(head), np.log10(head_count + 0.1)
     return _ready[key]
 
@@ -323,7 +324,7 @@ def _rest(rid: pa.Array, ptr: np.ndarray, key: np.ndarray, known: np.ndarray, ki
 
 def _score(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     """A row for each text (kind null), and one for each of its tokens (0) and grams (1) that the heads don't have."""
-    order = sent.value[0]
+    order = sent.value[1]
     scorer, index, logs = _tables(sent)
     for batch in batches:
         for lo, hi, buf, off in vec.chunks(batch.column(2), CHUNK):
@@ -349,7 +350,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     whose only token and symbol is the end. Repeated rows come back repeated.
     """
     sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast((model.order, model.tries, model.top, model.top_log10, model.head, model.head_count))
+    sent = sc.broadcast((model.ident, model.order, model.tries, model.top, model.top_log10, model.head, model.head_count))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     done = cut(rows.mapInArrow(partial(_score, sent=sent), _ROW), "scores")
     tail = done.filter("kind = 0").select("rid", "key", "n").join(model.tokens.select("key", F.col("n").alias("c")), "key", "left")

@@ -187,6 +187,20 @@ def test_ppm_keeps_grams_beyond_its_head(spark):
                 assert got[i] == pytest.approx(trie.text((t or "").encode(), learn=False))
 
 
+def test_ppm_scores_with_its_own_model(spark):
+    """Many models one after the other in the same workers; repeated rows; a score that unrelated texts don't change."""
+    docs = documents(spark, ["abab cd", "abab cd", "é"], [1, 1, 2])
+    seen = []
+    for text in ["abab cd", "zz", "abab"] * 2:
+        got = ppm.score(docs, ppm.fit(documents(spark, [text]), order=2)).collect()
+        assert len(got) == 3 and len({r.score for r in got if r.doc_id == 1}) == 1
+        trie = ppm.AdaptivePPM(2)
+        trie.text(text.encode())
+        assert all(r.score == pytest.approx(trie.text(("abab cd" if r.doc_id == 1 else "é").encode(), learn=False)) for r in got)
+        seen.append(sorted(r.score for r in got))
+    assert seen[:3] == seen[3:] and seen[0] != seen[1]
+
+
 def test_ppm_is_a_distribution_and_survives_nothing(spark):
     trie = ppm.AdaptivePPM(2)
     trie.text(b"abracadabra")
