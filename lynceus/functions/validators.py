@@ -26,37 +26,37 @@ def _weighted(x: Column, weights: tuple[int, ...], first: int = 1) -> Column:
 def ogrn(x: Column) -> Column:
     """13 digits, the first twelve modulo 11 modulo 10 the last."""
     body = F.expr("0L") + F.coalesce(F.substring(x, 1, 12).try_cast("long"), F.lit(0))
-    return F.when(x.rlike(r"^[0-9]{13}$"), body % 11 % 10 == _digit(x, 13)).otherwise(False)
+    return F.when(x.rlike(r"^[0-9]{13}\z"), body % 11 % 10 == _digit(x, 13)).otherwise(False)
 
 
 def inn(x: Column) -> Column:
     """10 digits with one check digit, or 12 with two."""
     ten = _weighted(x, _INN10) % 11 % 10 == _digit(x, 10)
     twelve = (_weighted(x, _INN11) % 11 % 10 == _digit(x, 11)) & (_weighted(x, _INN12) % 11 % 10 == _digit(x, 12))
-    return F.when(x.rlike(r"^[0-9]{10}$"), ten).when(x.rlike(r"^[0-9]{12}$"), twelve).otherwise(False)
+    return F.when(x.rlike(r"^[0-9]{10}\z"), ten).when(x.rlike(r"^[0-9]{12}\z"), twelve).otherwise(False)
 
 
 def imo_mmsi(x: Column) -> Column:
-    """IMO and seven digits with a check digit, or nine digits."""
-    return F.when(x.rlike(r"^IMO[0-9]{7}$"), _weighted(x, _IMO, 4) % 10 == _digit(x, 10)).otherwise(x.rlike(r"^[0-9]{9}$"))
+    """IMO, in any case, and seven digits with a check digit, or nine digits."""
+    return F.when(x.rlike(r"^(?i:IMO)[0-9]{7}\z"), _weighted(x, _IMO, 4) % 10 == _digit(x, 10)).otherwise(x.rlike(r"^[0-9]{9}\z"))
 
 
 def bic(x: Column) -> Column:
     """Six letters, two letters or digits, and three more or none."""
-    return x.rlike(r"^[A-Za-z]{6}[A-Za-z0-9]{2}([A-Za-z0-9]{3})?$")
+    return x.rlike(r"^[A-Za-z]{6}[A-Za-z0-9]{2}([A-Za-z0-9]{3})?\z")
 
 
 def _as_digits(x: Column) -> Column:
     """Letters as two digits, A = 10 to Z = 35."""
-    return F.array_join(F.transform(F.split(F.upper(x), ""), lambda c: F.when(c.rlike("^[A-Z]$"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
+    return F.array_join(F.transform(F.split(F.upper(x), ""), lambda c: F.when(c.rlike(r"^[A-Z]\z"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
 
 
 def isin(x: Column) -> Column:
     """Two letters, nine letters or digits and a Luhn digit over letters as numbers."""
-    return F.when(x.rlike(r"^[A-Za-z]{2}[A-Za-z0-9]{9}[0-9]$"), F.call_function("luhn_check", _as_digits(x))).otherwise(False)
+    return F.when(x.rlike(r"^[A-Za-z]{2}[A-Za-z0-9]{9}[0-9]\z"), F.call_function("luhn_check", _as_digits(x))).otherwise(False)
 
 
 def lei(x: Column) -> Column:
     """20 letters and digits, ISO 17442: letters as numbers, the whole modulo 97 is 1."""
     rest = F.aggregate(F.split(_as_digits(x), ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * 10 + F.ascii(c) - 48) % 97))
-    return F.when(x.rlike(r"^[A-Z0-9]{18}[0-9]{2}$"), rest == 1).otherwise(False)
+    return F.when(x.rlike(r"^[A-Z0-9]{18}[0-9]{2}\z"), rest == 1).otherwise(False)

@@ -45,9 +45,11 @@ class MatchParams:
             raise ValueError(f"unknown index type {self.index_type}")
 
     def bound(self, body: Mapping[str, object] | None) -> "MatchParams":
-        """A request body's params take the place of the URL's."""
+        """A request body's params take the place of the URL's; its weights come before the others, one by one."""
         named = {"include_datasets": "include_dataset", "exclude_datasets": "exclude_dataset", "exclude_entity_ids": "exclude_entity_ids"}
-        return replace(self, **{named[k]: tuple(v) for k, v in (body or {}).items() if k in named and v is not None})
+        own = {named[k]: tuple(v) for k, v in (body or {}).items() if k in named and v is not None}
+        weights = (body or {}).get("weights")
+        return replace(self, **own, **({"weights": {**self.weights, **weights}} if weights else {}))
 
     def candidate_limit(self) -> int:
         return min(max(self.limit * self.candidate_factor, self.match_candidates, 20), 9999)
@@ -77,6 +79,24 @@ def scope_datasets(catalog: Mapping[str, Sequence[str]], scope: str, include: Se
     return [d for d in (include or leaves) if d in leaves and d not in exclude]
 
 
+def query_datasets(catalog: Mapping[str, Sequence[str]] | None, params: MatchParams, include: Column, exclude: Column) -> tuple[Column, Column]:
+    """(datasets that a query may search, datasets that it may not), arrays by its own lists; a null list of its
+    own is the request's, another one replaces it. Without a catalogue, the first is null for any dataset."""
+    texts = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    include, exclude = F.coalesce(include, texts(params.include_dataset)), F.coalesce(exclude, texts(params.exclude_dataset))
+    if catalog is None:
+        return F.when(F.size(include) > 0, F.array_except(include, exclude)), exclude
+    leaves = texts(catalog.get(params.scope, ()))
+    return F.array_except(F.when(F.size(include) > 0, F.array_intersect(include, leaves)).otherwise(leaves), exclude), exclude
+
+
+def of_query(allowed: Column, barred: Column, datasets: str = "datasets") -> Column:
+    """Whether an entity is in a dataset that the query may search."""
+    held = F.coalesce(F.col(datasets), F.array().cast("array<string>"))
+    anywhere = (F.size(barred) == 0) | (F.size(F.array_except(held, barred)) > 0)
+    return F.when(allowed.isNull(), anywhere).otherwise(F.arrays_overlap(held, allowed))
+
+
 def in_datasets(datasets: Sequence[str], column: str = "datasets") -> Column:
     """Entities of any of the datasets. No datasets: no entities."""
     return _any_of(column, list(datasets))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def build_index(entities: DataFrame, folder: str, model: S.Model | None = None,
     out = {}
     for name, df in made.items():
         if buckets:
-            at = f"lynceus_{abs(hash(folder))}_{name}"
+            at = f"lynceus_{sha256(folder.encode()).hexdigest()[:16]}_{name}"
             df.write.mode("overwrite").bucketBy(buckets, by[name]).sortBy(by[name]).option("path", f"{folder}/{name}").saveAsTable(at)
             out[name] = spark.table(at)
         else:
@@ -67,12 +68,16 @@ def build_index(entities: DataFrame, folder: str, model: S.Model | None = None,
 def candidates(queries: DataFrame, index: Index, params: MatchParams, per_query: DataFrame | None = None) -> DataFrame:
     """(query_id, entity_id, boost): filtered and ranked candidates, at most the candidate limit of each query.
 
-    queries are precomputed. per_query may hold (query_id, filters, include_datasets, exclude_datasets).
+    queries are precomputed. per_query may hold (query_id, filters, include_datasets, exclude_datasets); a
+    query's own datasets, even none, take the place of the request's.
     """
     model = index.model
+    own_datasets = per_query is not None and {"include_datasets", "exclude_datasets"} & set(per_query.columns)
     datasets = None
     if index.scopes is not None:
-        datasets = X.scope_datasets(index.scopes, params.scope, params.include_dataset, params.exclude_dataset)
+        datasets = X.scope_datasets(index.scopes, params.scope) if own_datasets else X.scope_datasets(index.scopes, params.scope, params.include_dataset, params.exclude_dataset)
+    elif params.include_dataset and not own_datasets:
+        datasets = [d for d in params.include_dataset if d not in params.exclude_dataset]
     rows = X.apply(choose(index.entities, index.scoped, params.index_type), params, datasets)
     keys, names, _ = index.parts(rows)
     q = R.sampled(queries, model, params.name_sample_size)
@@ -93,10 +98,9 @@ def candidates(queries: DataFrame, index: Index, params: MatchParams, per_query:
         found = found.filter(X.with_topics(params.topics, own))
         if own is not None:
             found = found.filter(X.per_query(own))
-        for name, keep in (("include_datasets", True), ("exclude_datasets", False)):
-            if name in per_query.columns:
-                hit_ = F.coalesce(F.arrays_overlap("datasets", name), F.lit(not keep and False))
-                found = found.filter(F.col(name).isNull() | (hit_ if keep else ~hit_))
+        if own_datasets:
+            lists = [F.col(n) if n in per_query.columns else F.lit(None).cast("array<string>") for n in ("include_datasets", "exclude_datasets")]
+            found = found.filter(X.of_query(*X.query_datasets(index.scopes, params, *lists)))
     else:
         found = found.filter(X.with_topics(params.topics))
     return R.top(found.select("query_id", "entity_id", "boost"), params.candidate_limit()).drop("rank")

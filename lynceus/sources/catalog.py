@@ -24,16 +24,30 @@ class Fetcher(Protocol):
     def __call__(self, url: str, token: str | None = None) -> dict[str, Any]: ...
 
 
+def _text(url: str, token: str | None) -> str:
+    if url.startswith(("http://", "https://")):
+        with urlopen(Request(url, headers={"Authorization": f"Token {os.path.expandvars(token)}"} if token else {}), timeout=10) as r:
+            return r.read().decode()
+    return Path(url.removeprefix("file://")).read_text()
+
+
 def read_document(url: str, token: str | None = None) -> dict[str, Any]:
-    """JSON or YAML from a local path or an http address; the ending decides. A token goes in the header."""
+    """A manifest, JSON or YAML, from a local path or an http address; the ending decides. A token goes in the header."""
     kind = Path(url.split("?")[0]).suffix.lower()
     parse: dict[str, Callable[[str], Any]] = {".json": json.loads, ".yml": yaml.safe_load, ".yaml": yaml.safe_load}
     if kind not in parse:
         raise ValueError(f"unknown kind of manifest: {url}")
-    if url.startswith(("http://", "https://")):
-        with urlopen(Request(url, headers={"Authorization": f"Token {os.path.expandvars(token)}"} if token else {}), timeout=10) as r:
-            return parse[kind](r.read().decode())
-    return parse[kind](Path(url.removeprefix("file://")).read_text())
+    return parse[kind](_text(url, token))
+
+
+def read_catalog(url: str, token: str | None = None) -> dict[str, Any]:
+    """A catalogue: JSON, whatever the address ends in."""
+    return json.loads(_text(url, token))
+
+
+def load(url: str | None, indices: Sequence[tuple[str, str]], now: datetime, grace: timedelta = timedelta(0), log: Callable[[str], None] = lambda m: None) -> "Catalog":
+    """The catalogue of a manifest's address: its sources fetched and merged with what is indexed."""
+    return build(manifest(url), read_catalog, indices, now, grace, log)
 
 
 def manifest(url: str | None, fetch: Fetcher = read_document) -> dict[str, Any]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -66,35 +67,47 @@ def scoped_query(text: str | None) -> dict[str, list[str]] | None:
     return {k: list(v) if isinstance(v, list) else [v] for k, v in json.loads(text).items()} if text else None
 
 
-def create_scoped(entities: DataFrame, root: str, query: Mapping[str, Sequence[str]] | None = None) -> str:
-    """Write the subset as a new version under root, point `current` to it and remove the others.
+def _folder(spark: SparkSession, root: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    return path, path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, root: str) -> list[str]:
+    """The finished versions of a scoped subset, oldest first."""
+    path, fs = _folder(spark, root)
+    if not fs.exists(path(root)):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path(root)))
+    return [n for n in names if n.startswith("v-") and fs.exists(path(f"{root}/{n}/_SUCCESS"))]
 
-    Readers go through `current_scoped`, so they see the old version whole or the new one whole. A write
-    that fails leaves only its own folder, which is removed.
+
+def create_scoped(entities: DataFrame, root: str, query: Mapping[str, Sequence[str]] | None = None, keep: int = 2) -> str:
+    """Write the subset as a new version under root; the last `keep` versions stay, the others go.
+
+    A version counts from when its _SUCCESS file is there, which the write makes last, so readers see the
+    old version whole or the new one whole, and one that is being read stays for a while. A write that fails
+    leaves only its own folder, which is removed.
     """
     spark = entities.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    name = f"v-{uuid.uuid4().hex}"
+    path, fs = _folder(spark, root)
+    name = f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"
     try:
-        entities.filter(scoped_filter(query)).write.parquet(f"{root}/{name}")
-        spark.createDataFrame([(name,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current.new")
+        entities.filter(scoped_filter(query)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{root}/{name}")
     except Exception:
         fs.delete(path(f"{root}/{name}"), True)
         raise
-    fs.delete(path(f"{root}/current"), True)
-    fs.rename(path(f"{root}/current.new"), path(f"{root}/current"))
-    for status in fs.listStatus(path(root)):
-        old = status.getPath().getName()
-        if old.startswith("v-") and old != name:
-            fs.delete(status.getPath(), True)
+    for old in versions(spark, root)[:-keep]:
+        fs.delete(path(f"{root}/{old}"), True)
     return f"{root}/{name}"
 
 
 def current_scoped(spark: SparkSession, root: str) -> DataFrame:
-    name = spark.read.schema("version string").json(f"{root}/current").first()["version"]
-    return spark.read.parquet(f"{root}/{name}")
+    """The newest finished version."""
+    found = versions(spark, root)
+    if not found:
+        raise FileNotFoundError(f"no scoped subset under {root}")
+    return spark.read.parquet(f"{root}/{found[-1]}")
 
 
 def choose(main: DataFrame, scoped: DataFrame | None, index_type: str) -> DataFrame:

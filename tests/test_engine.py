@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lynceus.api import Engine, InvalidSchema, NotFound
+from lynceus.api import Engine, InvalidSchema, NotFound, Unavailable
 from lynceus.operators import entities as E
 from lynceus.operators import lookup
 from lynceus.operators import schema as S
@@ -180,7 +180,16 @@ def test_store(spark, tmp_path):
     assert [r.id for r in store.current_scoped(spark, root).collect()] == ["e3"]
     second = store.create_scoped(e, root, {"schema": ["Vessel"]})
     assert [r.id for r in store.current_scoped(spark, root).collect()] == ["e4"] and first != second
-    assert len([p for p in (tmp_path / "scoped").iterdir() if p.name.startswith("v-")]) == 1
+    assert store.versions(spark, root) == [first.rpartition("/")[2], second.rpartition("/")[2]]
+    third = store.create_scoped(e, root, {"schema": ["Person"]})
+    assert store.versions(spark, root) == [second.rpartition("/")[2], third.rpartition("/")[2]]
+    (tmp_path / "scoped" / "v-9-unfinished").mkdir()  # a write that is going on, or was broken off
+    assert sorted(r.id for r in store.current_scoped(spark, root).collect()) == ["e1", "e2"]
+    with pytest.raises(Exception):
+        store.create_scoped(e.withColumn("id", F.raise_error(F.lit("no"))), root)
+    assert sorted(r.id for r in store.current_scoped(spark, root).collect()) == ["e1", "e2"]
+    with pytest.raises(FileNotFoundError):
+        store.current_scoped(spark, root + "-none")
     assert store.ready(spark, second) == (True, "ok") and not store.ready(spark, root + "-none")[0]
     with pytest.raises(ValueError):
         store.layout_version(e)
@@ -189,6 +198,97 @@ def test_store(spark, tmp_path):
     assert counts["schema", "Person"] == 2 and counts["gender", "female"] == 2
 
 
+def test_commands(spark, tmp_path):
+    from lynceus import __version__
+    from lynceus.__main__ import main
+
+    store.write(entities(spark, PEOPLE), str(tmp_path / "e"))
+    assert main(["version"]) == __version__
+    at = main(["create-scoped", str(tmp_path / "e"), str(tmp_path / "s"), "--query", '{"schema": "Vessel"}'])
+    assert [r.id for r in store.current_scoped(spark, str(tmp_path / "s")).collect()] == ["e4"] and at.startswith(str(tmp_path / "s"))
+    main(["create-scoped", str(tmp_path / "e"), str(tmp_path / "s")])
+    assert [r.id for r in store.current_scoped(spark, str(tmp_path / "s")).collect()] == ["e3"]
+
+
+ANA = {"schema": "Person", "properties": {"name": ["Ana Maria Lopez"]}}
+
+
+@pytest.mark.parametrize("scopes", [{"all": ["one", "two"], "one": ["one"]}, None])
+def test_own_datasets_take_the_place_of_the_requests(spark, scopes):
+    engine = Engine(spark, Index(entities(spark, PEOPLE), MODEL, scopes=scopes))
+
+    def found(own=None, body=None, scope="all"):
+        got = engine.match({"q": ANA | ({"params": own} if own is not None else {}), "other": ANA}, MatchParams(scope=scope), body).collect()
+        return {r.query_id: {x.id for x in r.results or ()} for r in got}
+
+    assert found() == {"q": {"e1", "e2"}, "other": {"e1", "e2"}}
+    assert found({"include_datasets": ["two"]}, {"include_datasets": ["one"]}) == {"q": {"e2"}, "other": {"e1"}}
+    assert found({"exclude_datasets": ["two"]}, {"exclude_datasets": ["one"]}) == {"q": {"e1"}, "other": {"e2"}}
+    assert found({"exclude_datasets": []}, {"exclude_datasets": ["one"]}) == {"q": {"e1", "e2"}, "other": {"e2"}}
+    assert found({"include_datasets": []}, {"include_datasets": ["one"]}) == {"q": {"e1", "e2"}, "other": {"e1"}}
+    assert found({"include_datasets": ["one"]}, {"exclude_datasets": ["one"]}) == {"q": set(), "other": {"e2"}}
+    if scopes:
+        assert found({"include_datasets": ["two"]}, scope="one") == {"q": set(), "other": {"e1"}}
+
+
+def test_weights_of_environment_request_and_body(spark, monkeypatch):
+    monkeypatch.setenv("WEIGHT_NAME_LITERAL_MATCH", "0.6")
+    off = {n: 0.0 for n, _ in ALGORITHMS["logic-v1"].highest if n != "name_literal_match"}
+    engine = Engine(spark, Index(entities(spark, [("e", "Person", {"name": ["Ana Maria Lopez"]}, ["one"])]), MODEL))
+    score = lambda params, body=None: engine.match({"q": ANA}, params, body).first().results[0].score
+    assert score(MatchParams(weights=off)) == 0.6
+    assert score(MatchParams(weights=off | {"name_literal_match": 0.8})) == 0.8
+    assert score(MatchParams(weights=off | {"name_literal_match": 0.8}), {"weights": {"name_literal_match": 0.7}}) == 0.7
+    with pytest.raises(ValueError):
+        engine.match({"q": ANA}, None, {"weights": {"name_literal_match": 1.5}})
+    assert engine.metrics.requests == 4 and engine.metrics.queries == 4
+
+
+def test_catalogue_refresh_readiness_and_fields(spark):
+    made = []
+
+    def source():
+        if len(made) == 2:
+            raise OSError("gone")
+        made.append(1)
+        return C.Catalog([C.Dataset(f"d{len(made)}")])
+
+    engine = Engine(spark, Index(entities(spark, PEOPLE), MODEL), source=source)
+    names = lambda **x: [r.name for r in engine.catalog(**x).collect()]
+    assert names() == ["d1"] and names() == ["d1"] and names(force_refresh=True) == ["d2"] and engine.index.scopes == {"d2": ["d2"]}
+    with pytest.raises(Unavailable):
+        engine.catalog(force_refresh=True)
+    assert names() == ["d2"] and engine.metrics.refreshes == 3 and engine.metrics.failures == 1
+    assert engine.ready() == (True, "ok") and not Engine(spark, Index(spark.range(1), MODEL)).ready()[0]
+    assert {(r.value, r["count"]) for r in engine.fields(["schema"], {"datasets": ["two"]}).collect()} == {("Person", 1)}
+
+
+def test_catalogues_are_json_whatever_they_end_in(tmp_path):
+    (tmp_path / "index").write_text('{"datasets": [{"name": "a"}]}')
+    (tmp_path / "m.yml").write_text(f"catalogs: [{{url: {tmp_path / 'index'}}}, {{url: {tmp_path / 'gone'}}}]")
+    said = []
+    got = C.load(str(tmp_path / "m.yml"), [], datetime(2024, 1, 1), log=said.append)
+    assert [d.name for d in got.datasets] == ["a"] and len(said) == 1
+
+
+@pytest.mark.parametrize(
+    ("check", "good", "bad"),
+    [
+        ("imo_mmsi", ["IMO9074729", "imo9074729", "iMo9074729", "123456789"], ["IMO9074728", "9074729", "IMO9074729\n", "12345678", "123456789\n", "IMO 9074729"]),
+        ("bic", ["DEUTDEFF", "deutdeff500"], ["DEUTDEF", "DEUTDEFF50", "DEUTDEFF\n", "1EUTDEFF"]),
+        ("inn", ["7707083893", "500100732259"], ["7707083894", "500100732258", "770708389", "7707083893\n"]),
+        ("ogrn", ["1027700132195"], ["1027700132196", "102770013219", "1027700132195\n"]),
+        ("isin", ["US0378331005", "us0378331005"], ["US0378331006", "US037833100", "US0378331005\n"]),
+        ("lei", ["5493001KJTIIGC8Y1R12"], ["5493001KJTIIGC8Y1R13", "5493001KJTIIGC8Y1R1", "5493001KJTIIGC8Y1R12\n"]),
+    ],
+)
+def test_validators(spark, check, good, bad):
+    from lynceus.functions import validators
+
+    rows = spark.createDataFrame([(x,) for x in good + bad], "x string").select("x", getattr(validators, check)(F.col("x")).alias("ok")).collect()
+    assert {r.x for r in rows if r.ok} == set(good)
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"id": "a", "schema": "Person", "properties": {"name": ["X"]}, "other": 1}\n')
     row = store.read_jsonl(spark, str(tmp_path / "x.jsonl")).first()
