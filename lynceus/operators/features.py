@@ -54,6 +54,11 @@ def disjoint(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ~overlap(a, b)
 
 
+def value_pairs(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of every value of one list with every value of the other."""
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: f(x, y))))
+
+
 def simple_match(name: str, part: str) -> None:
     FEATURES[name] = lambda model: score(overlap(q(part), c(part)))
 
@@ -162,7 +167,7 @@ def orgid(model: S.Model) -> Column:
     a, b = q("org_ids_query"), c("org_ids_hit")
     both = S.is_a(model, F.col("q_schema"), "Organization") & S.is_a(model, F.col("c_schema"), "Organization")
     ratio = lambda x, y: 1 - F.levenshtein(x, y) / F.greatest(F.octet_length(x), F.octet_length(y))
-    best = F.array_max(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.when(ratio(x, y) > 0.7, ratio(x, y)).otherwise(0.0)))))
+    best = F.array_max(value_pairs(a, b, lambda x, y: F.when(ratio(x, y) > 0.7, ratio(x, y)).otherwise(0.0)))
     return F.when(both & disjoint(a, b), 1 - F.coalesce(best, F.lit(0.0))).otherwise(F.lit(0.0))
 
 

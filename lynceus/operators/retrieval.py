@@ -32,6 +32,16 @@ def phonetic_names(tokens: Column) -> Column:
     return codes.asNondeterministic()(tokens)
 
 
+def phonetic_tuples(tokens: Column) -> Column:
+    """(token, code) of tokens of two bytes or more; codes of under three characters are null."""
+
+    @F.pandas_udf("array<struct<token: string, code: string>>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ts: [{"token": t, "code": c} for t, c in kernels.coded(list(ts))] if ts is not None else [])
+
+    return run.asNondeterministic()(tokens)
+
+
 def phonetic_column(names: Column) -> Column:
     """Sound keys of names: tokens of three characters or more in a modern alphabet, made Latin."""
     long = F.filter(F.flatten(text.tokenize_names(names)), lambda t: text.is_modern(t) & (F.char_length(t) >= 3))
@@ -128,6 +138,12 @@ def block(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return q.join(e, ["kind", "key"]).groupBy("query_id", "entity_id").agg(F.sum("boost").alias("boost"))
 
 
+def by_part(tagged: DataFrame) -> DataFrame:
+    """(id, part, symbols): the distinct symbols of each part of names that `tag` has marked, sorted."""
+    rows = tagged.select("id", F.explode("symbols").alias("s"))
+    return rows.groupBy("id", F.col("s.part").alias("part")).agg(F.array_sort(F.collect_set("s.symbol")).alias("symbols"))
+
+
 def symbol_scores(queries: DataFrame, entities: DataFrame, model: S.Model) -> DataFrame:
     """(query_id, entity_id, boost) by name parts with symbols: each part counts its best clause, others a fifth.
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lynceus.functions import text, validators
-from lynceus.functions.kernels import fingerprint, metaphone
+from lynceus.functions.dictionaries import COUNTRIES
+from lynceus.functions.kernels import fingerprint, replace_org_symbols
 from lynceus.operators import entities as E
 from lynceus.operators import filters as X
 from lynceus.operators import lookup
@@ -19,6 +20,7 @@ from lynceus.operators.features import FEATURES, KERNELS, with_kernels
 from lynceus.operators.filters import MatchParams
 from lynceus.operators.symbols import tag
 from lynceus.plans.match import Index, match, rank, respond
+from lynceus.session import scratch
 from lynceus.sources import catalog as C
 from lynceus.sources import store
 from lynceus.sources import views as V
@@ -123,16 +125,11 @@ def snk2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("snk1_scoped_table", "SELECT dataset, count(*) AS n FROM (SELECT n_name AS dataset FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) GROUP BY dataset")
 def snk1(spark: SparkSession, d: str) -> DataFrame:
-    kept = V.companies(spark, d).filter(store.scoped_filter({"topics": ["BUILDING", "MACHINERY"]}))
-    return kept.groupBy(F.col("datasets")[0].alias("dataset")).agg(F.count("*").alias("n"))
-
-
-@query("snk3_response_json", f"WITH {_SUPP} SELECT id, name AS caption, CAST(round(k / 7.0, 3) AS DOUBLE) AS score, k / 7.0 >= 0.7 AS match FROM supp")
-def snk3(spark: SparkSession, d: str) -> DataFrame:
-    s = V.suppliers(spark, d).withColumn("score", _number(F.col("id")) / 7).withColumn("match", F.col("score") >= 0.7)
-    out = store.response(s.withColumn("features", F.create_map(F.lit("x"), F.col("score"))))
-    got = F.from_json("json", "caption string, score double, match boolean")
-    return out.select("id", got["caption"].alias("caption"), got["score"].alias("score"), got["match"].alias("match"))
+    """Written as a version of a scoped subset, and the newest version read."""
+    root = scratch(spark, "scoped")
+    store.create_scoped(V.companies(spark, d), root, {"topics": ["FURNITURE"]})
+    store.create_scoped(V.companies(spark, d), root, {"topics": ["BUILDING", "MACHINERY"]})
+    return store.current_scoped(spark, root).groupBy(F.col("datasets")[0].alias("dataset")).agg(F.count("*").alias("n"))
 
 
 # --- text
@@ -168,8 +165,19 @@ _text("txt12_name_parts_flat", f"array_to_string(list_transform(list_filter({_SP
 _text("txt11_name_parts", f"array_to_string(list_transform({_SPLIT}, lambda x: lower(x)), '|')", lambda n: F.flatten(text.name_parts(n)))
 _text("txt13_name_keys", f"array_to_string(list_filter([array_to_string(list_sort(list_transform({_SPLIT}, lambda x: lower(x))), '')], lambda x: strlen(x) > 5), '|')", text.index_name_keys)
 _text("txt14_index_name_parts", f"array_to_string(list_transform(list_filter({_SPLIT}, lambda x: length(x) > 1), lambda x: lower(x)), '|')", text.index_name_parts)
+# Published Soundex and Metaphone codes of the words that the tables' names are made of.
+_CODES = "codes AS (SELECT * FROM (VALUES ('customer', 'C235', 'KSTMR'), ('anvil', 'A514', 'ANFL'), ('blue', 'B400', 'BL'), ('bolt', 'B430', 'BLT'), ('cold', 'C430', 'KLT'), ('gear', 'G600', 'JR'), ('gizmo', 'G250', 'JSM'), ('hot', 'H300', 'HT'), ('large', 'L620', 'LRJ'), ('new', 'N000', 'N'), ('old', 'O430', 'OLT'), ('plate', 'P430', 'PLT'), ('red', 'R300', 'RT'), ('ring', 'R520', 'RNK'), ('rod', 'R300', 'RT'), ('small', 'S540', 'SML'), ('widget', 'W323', 'WJT')) AS t(word, soundex, metaphone))"
+
+
+def _coded(what: str, order: str = "i") -> str:
+    """SQL over each name's words in order, with their codes."""
+    return f"{_NAMES}, {_CODES}, w AS (SELECT id, i, w, soundex, metaphone FROM (SELECT id, unnest({_SPLIT}) AS w, unnest(range(len({_SPLIT}))) AS i FROM n) LEFT JOIN codes ON lower(w) = word) SELECT id, {what} FROM w GROUP BY id"
+
+
 _text("txt18_soundex", None, lambda n: text.soundex_codes(text.name_parts_flat(n)))
+ORACLE_SQL["txt18_soundex"] = _coded("string_agg(coalesce(soundex, ''), '|' ORDER BY i) AS out")
 _text("txt16_phonetic_names", None, R.phonetic_column)
+ORACLE_SQL["txt16_phonetic_names"] = _coded("coalesce(string_agg(metaphone, '|' ORDER BY i) FILTER (length(metaphone) > 2), '') AS out")
 _text("txt19_numbers", "array_to_string(list_distinct(regexp_extract_all(name, '\\d+')), '|')", text.extract_numbers)
 
 
@@ -178,16 +186,20 @@ def txt1(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select("doc_id", F.md5(text.latinize(F.col("text"))).alias("out"))
 
 
-@query("txt15_modern_alphabet", "SELECT doc_id, true AS modern FROM documents")
+_SCRIPTS = ["Müller", "Пётр", "Γιώργος", "Արամ", "王伟", "محمد", "123-45", "王 Wang Wei"]
+
+
+@query("txt15_modern_alphabet", "SELECT c_custkey, c_custkey % 8 NOT IN (4, 5) AS modern FROM customer")
 def txt15(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "documents").select("doc_id", text.is_modern(F.col("text")).alias("modern"))
+    """Names in eight scripts: a name is modern by the script of most of its letters."""
+    name = F.array(*map(F.lit, _SCRIPTS))[(F.col("c_custkey") % 8).cast("int")]
+    return V.table(spark, d, "customer").select("c_custkey", text.is_modern(name).alias("modern"))
 
 
-@query("txt17_phonetic_tuples")
+@query("txt17_phonetic_tuples", _coded("string_agg(w || ':' || coalesce(CASE WHEN length(metaphone) >= 3 THEN metaphone END, '-'), '|' ORDER BY i) AS tuples"))
 def txt17(spark: SparkSession, d: str) -> DataFrame:
-    code = F.udf(lambda ts: [[t, c if len(c := metaphone(t)) >= 3 else None] for t in ts], "array<array<string>>", useArrow=True)
-    tokens = F.filter(F.flatten(text.tokenize_names(F.col("names"))), lambda t: F.octet_length(t) >= 2)
-    return _names(spark, d).select("id", code(tokens).alias("tuples"))
+    tokens = F.flatten(text.tokenize_names(F.col("names")))
+    return _names(spark, d).select("id", F.array_join(F.transform(R.phonetic_tuples(tokens), lambda t: F.concat(t["token"], F.lit(":"), F.coalesce(t["code"], F.lit("-")))), "|").alias("tuples"))
 
 
 @query("txt20_flip_date", f"WITH {_PEOPLE} SELECT id, substr(birth, 9, 2) || substr(birth, 6, 2) AS out FROM ppl")
@@ -196,9 +208,9 @@ def txt20(spark: SparkSession, d: str) -> DataFrame:
     return V.people(spark, d).select("id", text.flip_date(F.concat(F.substring(b, 6, 2), F.substring(b, 9, 2))).alias("out"))
 
 
-@query("txt22_fingerprint")
+@query("txt22_fingerprint", "SELECT DISTINCT 'the ' || lower(c_mktsegment) || ' limited' AS name, lower(c_mktsegment) || ' ltd' AS fingerprint FROM customer")
 def txt22(spark: SparkSession, d: str) -> DataFrame:
-    f = F.udf(lambda s: fingerprint(s), "string", useArrow=True)
+    f = F.udf(fingerprint, "string", useArrow=True)
     name = F.concat(F.lit("the "), F.lower("c_mktsegment"), F.lit(" limited"))
     return V.table(spark, d, "customer").select(name.alias("name")).distinct().select("name", f("name").alias("fingerprint"))
 
@@ -223,13 +235,30 @@ def txt25(spark: SparkSession, d: str) -> DataFrame:
     return R.sampled(e, MODEL, 5).select("id", "names")
 
 
-@query("txt26_symbols")
+@query("txt26_symbols", f"WITH {_COMP} SELECT id, 'Trading SYMBOL:TRADE 0.8|LLC ORGCLS:LLC 0.7' || CASE WHEN k % 2 = 0 THEN '|2nd NUM:2 1.4' ELSE '' END AS symbols FROM comp")
 def txt26(spark: SparkSession, d: str) -> DataFrame:
-    c = V.companies(spark, d).select("id", "schema", F.concat_ws(" ", F.col("caption"), F.lit("Trading LLC 2nd")).alias("name"))
-    return tag(c, F.array("name"), MODEL).select("id", "symbols")
+    more = F.when(_number(F.col("id")) % 2 == 0, "-2nd").otherwise(" 2ndary")
+    c = V.companies(spark, d).select("id", "schema", F.concat(F.col("caption"), F.lit(" Trading LLC"), more).alias("name"))
+    shown = F.transform("symbols", lambda s: F.concat_ws(" ", s["part"], s["symbol"], s["boost"].cast("string")))
+    return tag(c, F.array("name"), MODEL).select("id", F.array_join(shown, "|").alias("symbols"))
+
+
+@query("txt30_org_symbols", f"WITH {_COMP} SELECT id, name || ' ' || CASE WHEN k % 2 = 0 THEN 'bank invest' ELSE 'Banquet group' END AS out FROM comp")
+def txt30(spark: SparkSession, d: str) -> DataFrame:
+    f = F.udf(replace_org_symbols, "string", useArrow=True)
+    more = F.when(_number(F.col("id")) % 2 == 0, " Banque INVESTMENTS").otherwise(" Banquet gruppe")
+    return V.companies(spark, d).select("id", f(F.concat("caption", more)).alias("out"))
+
+
+@query("txt29_nfc", "SELECT 'C' || c_custkey AS id, 'Zoé' || c_custkey AS name FROM customer")
+def txt29(spark: SparkSession, d: str) -> DataFrame:
+    """Names spelled with combining marks, as retrieval samples them: composed."""
+    name = F.concat(F.lit("Zoe\u0301"), F.col("c_custkey").cast("string"))
+    c = V.table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.lit("Person").alias("schema"), V.properties(name=name).alias("properties"))
+    return R.sampled(E.complete(c), MODEL, 5).select("id", F.col("names")[0].alias("name"))
 
 
-@query("txt27_format_score", "SELECT l_orderkey, l_linenumber, CAST(round(l_discount * l_tax * 10, 3) AS DOUBLE) AS score FROM lineitem WHERE l_orderkey % 2 = 0")
+@query("txt27_format_score", "SELECT l_orderkey, l_linenumber, CAST(round(l_discount * l_tax * 10, 3) AS DOUBLE) AS score FROM lineitem")
 def txt27(spark: SparkSession, d: str) -> DataFrame:
     li = V.table(spark, d, "lineitem")
     return li.select("l_orderkey", "l_linenumber", text.format_score(F.col("l_discount") * F.col("l_tax") * 10).alias("score"))
@@ -248,15 +277,31 @@ def _filtered(name: str, where: str, condition: Callable[[], Column]) -> None:
     query(name, f"WITH {_COMP} SELECT id FROM comp WHERE {where}")(lambda spark, d: V.companies(spark, d).filter(condition()).select("id"))
 
 
-_filtered("flt1_schema", "true", lambda: X.comparable(MODEL, F.lit("Organization")))
 _filtered("flt2_dataset_scope", "dataset IN ('NATION_1', 'NATION_3')", lambda: X.in_datasets(X.scope_datasets({"all": [f"NATION_{i}" for i in range(6)]}, "all", ["NATION_1", "NATION_3", "NATION_20"], ["NATION_4"])))
 _filtered("flt2_unknown_scope", "false", lambda: X.in_datasets(X.scope_datasets({}, "nowhere")))
 _filtered("flt3_topics", "topic IN ('BUILDING', 'FURNITURE')", lambda: X.with_topics(["BUILDING", "FURNITURE"]))
 _filtered("flt4_boolean", "topic IN ('BUILDING', 'MACHINERY') AND dataset = 'NATION_2'", lambda: X.boolean({"topics": [["BUILDING", "MACHINERY"]], "datasets": [["NATION_2"]]}))
-_filtered("flt6_exclude_schema", "false", lambda: X.not_schemas(["Company"]))
 _filtered("flt7_exclude_ids", "k NOT IN (3, 8)", lambda: X.not_ids(["C3", "OLD8"]))
 
 
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Companies, vessels and people."""
+    return V.companies(spark, d).unionByName(V.parts(spark, d)).unionByName(V.people(spark, d))
+
+
+_MIXED = f"WITH {_COMP}, {_PART}, {_PEOPLE}, mixed AS (SELECT id, 'Company' AS schema FROM comp UNION ALL SELECT id, 'Vessel' FROM prt UNION ALL SELECT id, 'Person' FROM ppl)"
+
+
+@query("flt1_schema", f"{_MIXED} SELECT id FROM mixed WHERE schema = 'Company'")
+def flt1(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d).filter(X.comparable(MODEL, F.lit("Organization"))).select("id")
+
+
+@query("flt6_exclude_schema", f"{_MIXED} SELECT id FROM mixed WHERE schema = 'Person'")
+def flt6(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d).filter(X.not_schemas(["Company", "Vessel"])).select("id")
+
+
 @query("flt5_changed_since", "SELECT 'O' || o_orderkey AS id FROM orders WHERE o_orderdate > TIMESTAMP '1999-06-15 00:00:00'")
 def flt5(spark: SparkSession, d: str) -> DataFrame:
     from datetime import datetime
@@ -297,13 +342,36 @@ def _feature(name: str, pairs: Query, sql: str | None, base: str = "") -> None:
 
 _JW = "jaro_winkler_similarity"
 _feature("name_literal_match", part_pairs, "CASE WHEN qn = cn THEN 1 ELSE 0 END", _PART_PAIRS)
-_feature("soundex_name_parts", people_pairs, None)
+# names of people are a priority and Order<n>, so their parts are known to SQL
+_W = lambda c: f"lower(split_part({c}, ' ', 1))"
+_L = lambda x, y: f"levenshtein({x}, {y}) <= least(4, CAST(ceil(least(strlen({x}), strlen({y})) / 5.0) AS INTEGER))"
+_o = tuple(f"lower({c})" for c in ("ql", "cl"))
+_a = tuple(f"({_W(n)} || {o})" for n, o in zip(("qn", "cn"), _o, strict=True))
+_same = f"{_W('qn')} = {_W('cn')}"
+_SOUNDEX = f"(CASE WHEN {_same} THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)"
+_feature("soundex_name_parts", people_pairs, _SOUNDEX, _PEOPLE_PAIRS)
 _best = f"list_max(list_transform(regexp_split_to_array(lower(cn), '[# ]'), lambda y: CASE WHEN {_JW}(x, y) > 0.6 THEN {_JW}(x, y) ELSE 0 END))"
 _feature("jaro_name_parts", part_pairs, f"list_avg(list_transform(list_distinct(regexp_split_to_array(lower(qn), '[# ]')), lambda x: {_best}))", _PART_PAIRS)
-_feature("person_name_jaro_winkler", people_pairs, None)
-_feature("person_name_phonetic_match", people_pairs, None)
-_feature("name_fingerprint_levenshtein", org_pairs, None)
-_feature("longest_common_subsequence", org_pairs, None)
+_best_person = f"list_max(list_transform([{_W('cn')}, {_o[1]}], lambda y: CASE WHEN {_JW}(x, y) > 0.6 THEN {_JW}(x, y) ELSE 0 END))"
+_JARO = f"list_avg(list_transform([{_W('qn')}, {_o[0]}], lambda x: {_best_person}))"
+_feature("jaro_name_parts", people_pairs, _JARO, _PEOPLE_PAIRS)
+_PERSON_JW = f"greatest(CASE WHEN {_L(*_a)} THEN power({_JW}({_a[0]}, {_a[1]}), strlen({_a[0]})) ELSE 0 END, CASE WHEN {_same} AND {_L(*_o)} THEN {_JW}({_o[0]}, {_o[1]}) ELSE 0 END)"
+_PHONETIC = f"(CASE WHEN {_same} THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)"
+_feature("person_name_jaro_winkler", people_pairs, _PERSON_JW, _PEOPLE_PAIRS)
+_feature("person_name_phonetic_match", people_pairs, _PHONETIC, _PEOPLE_PAIRS)
+# names of parts are two words; the words are paired greedily, which leaves the second pair no choice
+_SIM = lambda x, y: f"(CASE WHEN {x} = {y} THEN 1.0::DOUBLE WHEN {_L(x, y)} THEN 1 - levenshtein({x}, {y}) / CAST(greatest(strlen({x}), strlen({y})) AS DOUBLE) ELSE 0.0::DOUBLE END)"
+_word = lambda c, i: f"split_part(lower({c}), ' ', {i})"
+_first = "list_sort([" + ", ".join(f"{{'s': -{_SIM(_word('qn', i), _word('cn', j))}, 'x': {_word('qn', i)}, 'y': {_word('cn', j)}, 'i': {i}, 'j': {j}}}" for i in (1, 2) for j in (1, 2)) + "])[1]"
+_PARTS_FP = f"{_PART_PAIRS}, f AS (SELECT *, {_first} AS f FROM p), g AS (SELECT *, f.x || split_part(lower(qn), ' ', 3 - f.i) AS gx, f.y || split_part(lower(cn), ' ', 3 - f.j) AS gy, lower(qn) AS lq, lower(cn) AS lc, replace(lower(qn), ' ', '') AS jq, replace(lower(cn), ' ', '') AS jc FROM f), h AS (SELECT *, greatest({_SIM('lq', 'lc')}, {_SIM('jq', 'jc')}, {_SIM('gx', 'gy')}) AS fp FROM g)"
+_feature("name_fingerprint_levenshtein", part_pairs, None)
+ORACLE_SQL["feature_name_fingerprint_levenshtein"] = f"{_PARTS_FP} SELECT query_id, entity_id, CAST(fp AS DOUBLE) AS score FROM h"
+_zero = lambda b: f"list_transform(range(strlen({b}) + 1), lambda z: 0::BIGINT)"
+_LCS = lambda a, b: f"(list_reduce(string_split({a}, ''), lambda r, ch: list_reduce(range(strlen({b})), lambda n, j: list_append(n, greatest(n[-1], r[j + 2], r[j + 1] + CASE WHEN substr({b}, CAST(j + 1 AS BIGINT), 1) = ch THEN 1 ELSE 0 END)), [0::BIGINT]), {_zero(b)})[-1] / CAST(greatest(strlen({a}), strlen({b})) AS DOUBLE))"
+_keys = tuple(f"array_to_string(list_sort([{_W(n)}, {o}]), '')" for n, o in zip(("qn", "cn"), _o, strict=True))
+_PEOPLE_KEYS = f"{_PEOPLE_PAIRS}, k AS (SELECT *, {_keys[0]} AS qk, {_keys[1]} AS ck FROM p), u AS (SELECT DISTINCT qk, ck FROM k), l AS (SELECT qk, ck, {_LCS('qk', 'ck')} AS lcs FROM u)"
+_feature("longest_common_subsequence", people_pairs, None)
+ORACLE_SQL["feature_longest_common_subsequence_people"] = f"{_PEOPLE_KEYS} SELECT query_id, entity_id, lcs AS score FROM k JOIN l USING (qk, ck)"
 _feature("identifier_match", org_pairs, "CASE WHEN qr = cr THEN 1 ELSE 0 END", _ORG_PAIRS)
 _feature("country_match", org_pairs, "CASE WHEN qc = cc THEN 1 ELSE 0 END", _ORG_PAIRS)
 _feature("country_mismatch", org_pairs, "CASE WHEN qc <> cc THEN 1 ELSE 0 END", _ORG_PAIRS)
@@ -313,7 +381,6 @@ _feature("identifier_mismatch", org_pairs, "CASE WHEN qr <> cr THEN 1 ELSE 0 END
 _feature("last_name_mismatch", people_pairs, "CASE WHEN ql <> cl THEN 1 ELSE 0 END", _PEOPLE_PAIRS)
 _feature("gender_mismatch", people_pairs, "CASE WHEN qg <> cg THEN 1 ELSE 0 END", _PEOPLE_PAIRS)
 _feature("gender_disjoint", people_pairs, "CASE WHEN qg <> cg THEN 1 ELSE 0 END", _PEOPLE_PAIRS)
-_feature("weak_alias_match", part_pairs, "0", _PART_PAIRS)
 _feature("dob_year_disjoint", people_pairs, "CASE WHEN left(qb, 4) <> left(cb, 4) THEN 1 ELSE 0 END", _PEOPLE_PAIRS)
 _feature("dob_day_disjoint", people_pairs, "CASE WHEN left(qb, 4) <> left(cb, 4) THEN 1 WHEN substr(qb, 6) = substr(cb, 6) THEN 0 WHEN substr(qb, 9, 2) || '-' || substr(qb, 6, 2) = substr(cb, 6) THEN 0.5 ELSE 1 END", _PEOPLE_PAIRS)
 _dd = lambda a, b: f"CASE WHEN abs(date_diff('day', {a}, {b})) <= 1 THEN 1 WHEN abs(date_diff('day', {a}, {b})) >= 60 THEN -1 ELSE (60 - abs(date_diff('day', {a}, {b}))) / 59.0 END"
@@ -323,21 +390,54 @@ _feature("dob_progressive_match", people_pairs, f"greatest({_plain}, CASE WHEN s
 _ratio = "1 - levenshtein(qr, cr) / CAST(greatest(length(qr), length(cr)) AS DOUBLE)"
 _feature("orgid_disjoint", org_pairs, f"CASE WHEN qr = cr THEN 0 WHEN {_ratio} > 0.7 THEN 1 - ({_ratio}) ELSE 1 END", _ORG_PAIRS)
 _feature("numbers_mismatch", people_pairs, "CASE WHEN regexp_extract(qn, '\\d+') <> regexp_extract(cn, '\\d+') THEN 1 ELSE 0 END", _PEOPLE_PAIRS)
-for _n in ("isin_security_match", "lei_code_match", "ogrn_code_match", "inn_code_match", "bic_code_match"):
-    _feature(_n, org_pairs, "0", _ORG_PAIRS)
 
 
-def _vessels(spark: SparkSession, d: str) -> DataFrame:
-    """Parts with a nine-digit MMSI that two neighbours share."""
+@query("feature_weak_alias_match", f"{_PART_PAIRS} SELECT query_id, entity_id, CAST(CASE WHEN ck % 3 = 0 OR qn = cn THEN 1 ELSE 0 END AS DOUBLE) AS score FROM p")
+def weak_alias(spark: SparkSession, d: str) -> DataFrame:
+    """Every third part has its predecessor's name as a weak alias, the others their own."""
     p = V.parts(spark, d)
-    number = F.lpad(F.floor(_number(F.col("id")) / 2).cast("string"), 9, "1")
-    return p.withColumn("properties", F.map_concat("properties", F.create_map(F.lit("mmsi"), F.array(number))))
+    before = p.select(_number(F.col("id")).alias("n"), F.upper(F.col("properties")["name"][0]).alias("before"))
+    n = _number(F.col("id"))
+    e = p.withColumn("n", F.when(n % 3 == 0, n - 1).otherwise(n)).join(before, "n", "left")
+    e = e.withColumn("properties", F.map_concat("properties", F.create_map(F.lit("weakAlias"), F.array("before")))).drop("n", "before")
+    return _pairs(p, e, _number(F.col("id")) - 1).select("query_id", "entity_id", FEATURES["weak_alias_match"](MODEL).alias("score"))
+
 
+def _checked(body: Column, valid: Callable[[Column], Column], digits: int) -> tuple[Column, Column]:
+    """A code with the check digits that hold, and one with the next, which don't."""
+    ends = F.transform(F.sequence(F.lit(0), F.lit(10**digits - 1)), lambda x: F.lpad(x.cast("string"), digits, "0"))
+    good = F.filter(ends, lambda e: valid(F.concat(body, e)))[0]
+    bad = F.lpad(F.pmod(good.cast("int") + 1, F.lit(10**digits)).cast("string"), digits, "0")
+    return F.concat(body, good), F.concat(body, bad)
 
-@query("feature_vessel_imo_mmsi_match", f"{_PART_PAIRS} SELECT query_id, entity_id, CAST(CASE WHEN qk // 2 = ck // 2 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM p")
-def vessel_ids(spark: SparkSession, d: str) -> DataFrame:
-    v = _vessels(spark, d)
-    return _pairs(v, v, _number(F.col("id")) - 1).select("query_id", "entity_id", FEATURES["vessel_imo_mmsi_match"](MODEL).alias("score"))
+
+#: feature: schema, property, and from a number a good and a bad code
+_CODED: dict[str, tuple[str, str, Callable[[Column], tuple[Column, Column]]]] = {
+    "isin_security_match": ("Security", "isin", lambda k: _checked(F.concat(F.lit("US"), F.lpad(k.cast("string"), 9, "0")), validators.isin, 1)),
+    "lei_code_match": ("Company", "leiCode", lambda k: _checked(F.concat(F.lit("AB"), F.lpad(k.cast("string"), 16, "0")), validators.lei, 2)),
+    "ogrn_code_match": ("Company", "ogrnCode", lambda k: _checked(F.lpad(k.cast("string"), 12, "1"), validators.ogrn, 1)),
+    "inn_code_match": ("Company", "innCode", lambda k: _checked(F.lpad(k.cast("string"), 9, "1"), validators.inn, 1)),
+    "bic_code_match": ("Company", "bicCode", lambda k: (F.concat(F.lit("ABCD"), F.translate(F.lpad(k.cast("string"), 7, "0"), "0123456789", "ABCDEFGHIJ")), F.concat(F.lit("1BCD"), F.translate(F.lpad(k.cast("string"), 7, "0"), "0123456789", "ABCDEFGHIJ")))),
+    "vessel_imo_mmsi_match": ("Vessel", "imoNumber", lambda k: _checked(F.concat(F.lit("imo"), F.lpad(k.cast("string"), 6, "1")), validators.imo_mmsi, 1)),
+}
+
+
+def _coded_pairs(feature: str) -> Query:
+    schema, prop, code = _CODED[feature]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        n = F.floor(F.col("p_partkey") / 2)
+        good, bad = code(n)
+        rows = V.table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.lit(schema).alias("schema"), V.properties(**{prop: F.when(n % 3 == 0, bad).otherwise(good)}).alias("properties"))
+        e = E.complete(rows)
+        return _pairs(e, e, _number(F.col("id")) - 1).select("query_id", "entity_id", FEATURES[feature](MODEL).alias("score"))
+
+    return run
+
+
+# two neighbours share a code; every third code is wrong by its last digit (a BIC by its first letter)
+for _n in _CODED:
+    query(f"feature_{_n}", f"{_PART_PAIRS} SELECT query_id, entity_id, CAST(CASE WHEN qk // 2 = ck // 2 AND qk // 2 % 3 <> 0 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM p")(_coded_pairs(_n))
 
 
 @query("feature_crypto_wallet_match", "SELECT 'E' || a.event_id AS query_id, 'E' || b.event_id AS entity_id, CAST(CASE WHEN a.user_id = b.user_id THEN 1 ELSE 0 END AS DOUBLE) AS score FROM events a JOIN events b ON b.event_id = a.event_id + 1")
@@ -347,7 +447,15 @@ def wallets(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(w, w, _number(F.col("id")) - 1).select("query_id", "entity_id", FEATURES["crypto_wallet_match"](MODEL).alias("score"))
 
 
-@query("feature_address_entity_match")
+_ADDRESS = """
+WITH w AS (SELECT p_partkey AS k, list_distinct([CAST(p_size AS VARCHAR), split_part(lower(p_name), ' ', 1), split_part(lower(p_name), ' ', 2)]) AS w FROM part),
+p AS (SELECT q.k AS qk, c.k AS ck, list_intersect(q.w, c.w) AS b, q.w AS x, c.w AS y FROM w q JOIN w c ON c.k = q.k + 1),
+r AS (SELECT qk, ck, len(b) AS n, greatest(len(x), len(y)) - len(b) AS rest, len(b) IN (len(x), len(y)) AS all_, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(b, v))), ' ') AS s, array_to_string(list_sort(list_filter(y, lambda v: NOT list_contains(b, v))), ' ') AS t FROM p)
+SELECT 'A' || qk AS query_id, 'A' || ck AS entity_id, CASE WHEN all_ THEN 1.0::DOUBLE ELSE (n + rest * CASE WHEN s = t THEN 1.0::DOUBLE WHEN levenshtein(s, t) <= least(greatest(strlen(s), strlen(t)), CAST(ceil(least(strlen(s), strlen(t)) / 5.0) AS INTEGER)) THEN 1 - levenshtein(s, t) / CAST(greatest(strlen(s), strlen(t)) AS DOUBLE) ELSE 0.0::DOUBLE END) / (rest + n) END AS score FROM r
+"""
+
+
+@query("feature_address_entity_match", _ADDRESS)
 def address(spark: SparkSession, d: str) -> DataFrame:
     p = V.table(spark, d, "part")
     full = F.concat(F.lit("2nd floor, "), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name"), F.lit(" Street"))
@@ -357,9 +465,6 @@ def address(spark: SparkSession, d: str) -> DataFrame:
 
 # --- validators: numbers made from keys
 
-_luhn = "(SELECT sum(CASE WHEN i % 2 = 0 THEN d ELSE CASE WHEN d * 2 > 9 THEN d * 2 - 9 ELSE d * 2 END END) % 10 = 0 FROM (SELECT unnest(range(length(s))) AS i, CAST(unnest(list_reverse(string_split(s, ''))) AS INTEGER) AS d))"
-
-
 def _validator(name: str, code: Callable[[Column], Column], check: Callable[[Column], Column], sql_code: str, sql_check: str | None) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return V.table(spark, d, "customer").select("c_custkey", code(F.col("c_custkey")).alias("code")).select("c_custkey", "code", check(F.col("code")).alias("valid"))
@@ -379,7 +484,9 @@ _validator("ogrn", lambda k: _digits(k, 7919, 13), validators.ogrn, "lpad(CAST(c
 _validator("inn", lambda k: _digits(k, 104729, 10), validators.inn, "lpad(CAST(c_custkey * 104729 AS VARCHAR), 10, '1')", f"{_sum((2, 4, 10, 3, 5, 9, 4, 6, 8))} % 11 % 10 = CAST(right(code, 1) AS INTEGER)")
 _validator("imo_mmsi", lambda k: F.concat(F.lit("IMO"), _digits(k, 6101, 7)), validators.imo_mmsi, "'IMO' || lpad(CAST(c_custkey * 6101 AS VARCHAR), 7, '1')", f"CASE WHEN length(code) = 10 THEN {_sum((7, 6, 5, 4, 3, 2), 4)} % 10 = CAST(substr(code, 10, 1) AS INTEGER) ELSE false END")
 _validator("bic", lambda k: F.concat(F.lit("ABCDEF"), k.cast("string")), validators.bic, "'ABCDEF' || c_custkey", "length(code) IN (8, 11)")
-_validator("isin", lambda k: F.concat(F.lit("US"), _digits(k, 7919, 10)), validators.isin, "'US' || lpad(CAST(c_custkey * 7919 AS VARCHAR), 10, '1')", None)
+# U and S are 30 and 28; every second digit from the last counts twice, and as the sum of its digits
+_isin = "list_sum(list_transform(range(14), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(s, 14 - i, 1) AS BIGINT) ELSE CAST(substr(s, 14 - i, 1) AS BIGINT) * 2 // 10 + CAST(substr(s, 14 - i, 1) AS BIGINT) * 2 % 10 END)) % 10 = 0".replace("s,", "'3028' || substr(code, 3),")
+_validator("isin", lambda k: F.concat(F.lit("US"), _digits(k, 7919, 10)), validators.isin, "'US' || lpad(CAST(c_custkey * 7919 AS VARCHAR), 10, '1')", _isin)
 _validator("lei", lambda k: F.concat(F.lit("AB"), _digits(k, 7919, 18)), validators.lei, "'AB' || lpad(CAST(c_custkey * 7919 AS VARCHAR), 18, '1')", "CAST('1011' || substr(code, 3) AS HUGEINT) % 97 = 1")
 # --- retrieval and joins
 
@@ -391,7 +498,7 @@ def join1(spark: SparkSession, d: str) -> DataFrame:
     return R.top(R.block(e.filter(_number(F.col("id")) % 100 == 0), e), 20).select("query_id", "entity_id", "boost")
 
 
-@query("join1_block_frequent", "SELECT query_id, entity_id, boost FROM (WITH k AS (SELECT user_id AS u, event_type AS t, event_id AS e FROM events), p AS (SELECT DISTINCT u, t FROM k), q AS (SELECT 'U' || u AS query_id, t, u FROM p) SELECT query_id, 'E' || e AS entity_id, CAST(sum(s) AS DOUBLE) AS boost FROM (SELECT query_id, e, 2 AS s FROM (SELECT DISTINCT query_id, u FROM q) JOIN k USING (u) UNION ALL SELECT query_id, e, 1 FROM q JOIN k USING (u, t)) GROUP BY ALL)")
+@query("join1_block_frequent", "SELECT query_id, entity_id, boost FROM (WITH k AS (SELECT user_id AS u, event_type AS t, event_id AS e FROM events), p AS (SELECT DISTINCT u, t FROM k), q AS (SELECT 'U' || u AS query_id, t, u FROM p) SELECT query_id, 'E' || e AS entity_id, CAST(sum(s) AS DOUBLE) AS boost FROM (SELECT query_id, e, 2 AS s FROM (SELECT DISTINCT query_id, u FROM q) JOIN k USING (u) UNION ALL SELECT query_id, e, 1 FROM q JOIN k USING (t)) GROUP BY ALL)")
 def join1_frequent(spark: SparkSession, d: str) -> DataFrame:
     ev = V.table(spark, d, "events")
     key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("key"))
@@ -421,14 +528,7 @@ def join1c(spark: SparkSession, d: str) -> DataFrame:
     return R.top(R.symbol_scores(q, keys, MODEL), 20).select("query_id", "entity_id", "boost")
 
 
-@query("join4_set_ops", "SELECT a.o_orderkey AS k, CAST(len(list_intersect(x, y)) AS INTEGER) AS both, list_has_any(x, y) AS met FROM (SELECT o_orderkey, [o_orderstatus, o_orderpriority] AS x, lag([o_orderstatus, o_orderpriority]) OVER (ORDER BY o_orderkey) AS y FROM orders) a WHERE y IS NOT NULL")
-def join4(spark: SparkSession, d: str) -> DataFrame:
-    o = V.table(spark, d, "orders").select("o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("x"))
-    pairs = o.join(o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.col("x").alias("y")), "o_orderkey")
-    return pairs.select(F.col("o_orderkey").alias("k"), F.size(F.array_intersect("x", "y")).alias("both"), F.arrays_overlap("x", "y").alias("met"))
-
-
-_OWN = "o AS (SELECT 'C' || o_custkey AS c, 'O' || o_orderkey AS a, 'W' || o_orderkey AS w FROM orders WHERE o_custkey % 50 = 0)"
+_OWN = "o AS (SELECT 'C' || o_custkey AS c, 'O' || o_orderkey AS a, 'W' || o_orderkey AS w FROM orders)"
 
 
 @query("join5_enrich", f"WITH {_OWN} SELECT c AS root, c AS parent, 'ownershipOwner' AS prop, w AS child, 1 AS depth FROM o UNION ALL SELECT c, w, 'asset', a, 2 FROM o")
@@ -460,17 +560,6 @@ def cat5(spark: SparkSession, d: str) -> DataFrame:
     return C.leaves(V.catalog(spark, d).select("name", "children"))
 
 
-@query("cat4_index_stale", "SELECT r_name AS name, bool_or(n_nationkey % 2 = 1) AS stale FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
-def cat4(spark: SparkSession, d: str) -> DataFrame:
-    n = V.table(spark, d, "nation").join(V.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.groupBy(F.col("r_name").alias("name")).agg(F.bool_or(F.col("n_nationkey") % 2 == 1).alias("stale"))
-
-
-@query("agg12_last_wins", "SELECT user_id, arg_max(event_type, ts) AS event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 GROUP BY user_id")
-def agg12(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
-
-
 # --- folds and algorithms
 
 
@@ -481,12 +570,32 @@ def _algorithm(name: str, algorithm: str, pairs: Query, sql: str | None, base: s
     query(name, sql and f"{base} SELECT query_id, entity_id, CAST({sql} AS DOUBLE) AS score FROM p")(run)
 
 
-_algorithm("algo1_name_based", "name-based", people_pairs, None)
-_algorithm("algo2_name_qualified", "name-qualified", people_pairs, None)
+_YEAR = "(CASE WHEN left(qb, 4) <> left(cb, 4) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+_DAY = "(CASE WHEN left(qb, 4) <> left(cb, 4) THEN 1.0::DOUBLE WHEN substr(qb, 6) = substr(cb, 6) THEN 0.0::DOUBLE WHEN substr(qb, 9, 2) || '-' || substr(qb, 6, 2) = substr(cb, 6) THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END)"
+_GENDER = "(CASE WHEN qg <> cg THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+_LAST = "(CASE WHEN ql <> cl THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+_NUMBER = "(CASE WHEN regexp_extract(qn, '\\d+') <> regexp_extract(cn, '\\d+') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+_PROGRESS = f"greatest({_plain}, CASE WHEN substr(qb, 6, 2) <> substr(qb, 9, 2) AND {_sw} IS NOT NULL AND {_turn} > 0 THEN 0.5 * ({_turn}) END)"
+
+
+def _folded(base: str, first: str, penalties: list[tuple[str, float]], source: str = "p", cutoff: float = 0.5) -> str:
+    """SQL of a score that starts at `first`, from which penalties are taken in order while it reaches the cutoff."""
+    steps = [f"s0 AS (SELECT *, CAST({first} AS DOUBLE) AS s FROM {source})"]
+    for i, (v, w) in enumerate(penalties, 1):
+        steps.append(f"s{i} AS (SELECT * EXCLUDE (s), CASE WHEN s < {cutoff} THEN s ELSE s - {w}::DOUBLE * {v} END AS s FROM s{i - 1})")
+    return f"{base}, {', '.join(steps)} SELECT query_id, entity_id, CAST(least(1, greatest(0, s)) AS DOUBLE) AS score FROM s{len(penalties)}"
+
+
+_algorithm("algo1_name_based", "name-based", people_pairs, f"0.5::DOUBLE * {_SOUNDEX} + 0.5::DOUBLE * {_JARO}", _PEOPLE_PAIRS)
+_algorithm("algo2_name_qualified", "name-qualified", people_pairs, f"least(1, greatest(0, 0.5::DOUBLE * {_SOUNDEX} + 0.5::DOUBLE * {_JARO} - 0.1::DOUBLE * {_YEAR} - 0.15::DOUBLE * {_DAY} - 0.1::DOUBLE * {_GENDER}))", _PEOPLE_PAIRS)
 _algorithm("algo3_logic_v1", "logic-v1", people_pairs, None)
-_algorithm("algo3_logic_v1_companies", "logic-v1", org_pairs, None)
+_NAMES_OF_PEOPLE = f"greatest(0.8::DOUBLE * {_PERSON_JW}, 0.9::DOUBLE * {_PHONETIC})"
+ORACLE_SQL["algo3_logic_v1"] = _folded(_PEOPLE_PAIRS, _NAMES_OF_PEOPLE, [(_LAST, 0.2), (_YEAR, 0.15), (_DAY, 0.2), (_GENDER, 0.2), (_NUMBER, 0.1)])
+_algorithm("algo3_logic_v1_companies", "logic-v1", org_pairs, "CASE WHEN qr = cr THEN 0.85::DOUBLE - CASE WHEN qc <> cc THEN 0.2::DOUBLE ELSE 0 END ELSE 0 END", _ORG_PAIRS)
 _algorithm("algo4_subsequence_and_dates", "marble-v0", people_pairs, None)
+ORACLE_SQL["algo4_subsequence_and_dates"] = _folded(_PEOPLE_KEYS, f"greatest({_NAMES_OF_PEOPLE}, 0.8::DOUBLE * lcs) + 0.15::DOUBLE * {_PROGRESS}", [(_LAST, 0.2), (_GENDER, 0.2), (_NUMBER, 0.1)], "k JOIN l USING (qk, ck)")
 _algorithm("algo3_logic_v1_vessels", "logic-v1", part_pairs, None)
+ORACLE_SQL["algo3_logic_v1_vessels"] = _folded(_PARTS_FP, "greatest(CASE WHEN qn = cn THEN 1 ELSE 0 END, 0.9::DOUBLE * fp)", [("(CASE WHEN qf <> cf THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)", 0.2)], "h")
 # weights of 0 take the kernel features out, which leaves what SQL can say
 _NATIVE = {"person_name_jaro_winkler": 0.0, "person_name_phonetic_match": 0.0, "name_fingerprint_levenshtein": 0.0, "address_entity_match": 0.0}
 _low = "CASE WHEN qn = cn THEN 1.0 ELSE 0.0 END"
@@ -534,16 +643,37 @@ def top2(spark: SparkSession, d: str) -> DataFrame:
     return R.top(ev, MatchParams(limit=1, candidate_factor=1).candidate_limit()).select(F.col("query_id").alias("user_id"), F.col("entity_id").alias("event_id"))
 
 
-@query("match_end_to_end")
+# a supplier and a customer share a word (their number), an identifier (the same) and, where nations are countries, a
+# country; nothing else of their names sounds or looks alike. With a cutoff of 0 every penalty counts.
+_MATCHED = f"""
+WITH {_SUPP}, {_COMP},
+c AS (SELECT s.id AS query_id, c.id AS entity_id, 2.0 * CAST(s.reg = c.reg AS INTEGER) + CAST({{near}} AS INTEGER) AS boost, s.reg = c.reg AS same, {{same_country}} AS near FROM supp s JOIN comp c ON s.reg = c.reg OR {{near}}),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boost DESC, entity_id) AS n FROM c) WHERE n <= {{candidates}}),
+s AS (SELECT *, CASE WHEN same THEN 0.85::DOUBLE - CASE WHEN near THEN 0 ELSE 0.2::DOUBLE END ELSE 0 END AS score FROM t),
+r AS (SELECT *, score >= 0.7 AS match, count(*) FILTER (score >= 0.7) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM s)
+"""
+
+
+@query("match_end_to_end", _MATCHED.format(candidates=50, near="false", same_country="true") + "SELECT query_id, entity_id, CAST(rank AS INTEGER) AS rank, score, match, total, CAST(boost AS DOUBLE) AS boost FROM r WHERE rank <= 5")
 def match_companies(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers screened against customers with the whole plan."""
-    return match(V.suppliers(spark, d), Index(V.companies(spark, d), MODEL), MatchParams(cutoff=0.0, weights={}))
+    return match(V.suppliers(spark, d), Index(V.companies(spark, d), MODEL), MatchParams(cutoff=0.0, weights={})).drop("features")
+
+
+def _in_countries(e: DataFrame) -> DataFrame:
+    """Nations of the tables (NATION_0 and so on) as countries, other names as they are."""
+    code = F.try_element_at(F.array(*map(F.lit, sorted(COUNTRIES))), F.regexp_extract(F.col("datasets")[0], r"(\d+)$", 1).try_cast("int") + 1)
+    country = F.coalesce(F.try_element_at("properties", F.lit("country")), F.array().cast("array<string>"))
+    own = F.create_map(F.lit("country"), F.when(code.isNotNull(), F.array(code)).otherwise(country))
+    return e.withColumn("properties", F.map_concat(F.map_filter("properties", lambda k, v: k != "country"), own))
 
 
-@query("match_response")
+@query("match_response", _MATCHED.format(candidates=20, near="s.country = c.country", same_country="s.country = c.country") + "SELECT id AS query_id, 200 AS status, coalesce(max(total), 0) AS total, coalesce(string_agg(entity_id || ' ' || CAST(CAST(round(score, 3) AS DECIMAL(4, 3)) AS VARCHAR), '|' ORDER BY rank), '') AS results FROM supp LEFT JOIN (SELECT * FROM r WHERE rank <= 2) ON query_id = id GROUP BY id")
 def match_response(spark: SparkSession, d: str) -> DataFrame:
-    index, q = Index(V.companies(spark, d), MODEL), V.suppliers(spark, d)
-    return respond(q, match(q, index, MatchParams(cutoff=0.0, limit=2)), index)
+    index, q = Index(_in_countries(V.companies(spark, d)), MODEL), _in_countries(V.suppliers(spark, d))
+    got = respond(q, match(q, index, MatchParams(cutoff=0.0, limit=2)), index)
+    shown = F.transform(F.coalesce("results", F.array()), lambda r: F.concat_ws(" ", r["id"], r["score"].cast("decimal(4, 3)").cast("string")))
+    return got.select("query_id", "status", "total", F.array_join(shown, "|").alias("results"))
 
 
 @query("schema_closure", None)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,6 +21,17 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in spark.checkpoint.dir; where that is unset and all runs in one process, on this machine."""
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="lynceus-")
+    return f"{at.rstrip('/')}/lynceus/{name}-{uuid.uuid4().hex}"
+
+
 def planned(spark: SparkSession) -> SparkSession:
     """`ready`, and constraint propagation off: entity plans have hundreds of aliases of related expressions,
     and the optimizer's set of inferred constraints doubles with each. Nothing here relies on it."""

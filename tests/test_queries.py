@@ -25,7 +25,8 @@ def test_against_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() > 0
+    df = QUERIES[name](spark, FOLDER)
+    assert len(df.select(*df.columns).collect()) > 0  # all columns: a count would leave kernels out
 
 
 def test_entry(spark):
