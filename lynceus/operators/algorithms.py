@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lynceus.operators import schema as S
-from lynceus.operators.features import FEATURES, with_kernels
+from lynceus.operators.features import column, with_kernels
+from lynceus.session import remembered
 
 Weighted = tuple[tuple[str, float], ...]
 
@@ -85,6 +86,15 @@ def fold(algorithm: Algorithm, cutoff: float, raw: Mapping[str, Column]) -> Colu
     return F.aggregate(rest, first, step)
 
 
+def _able(model: S.Model, gate: bool) -> Column:
+    able = S.can_match(model, F.col("q_schema"), F.col("c_schema"))
+    return able & S.hit_is_a(model, F.col("q_schema"), F.col("c_schema")) if gate else able
+
+
+def _fold(chosen: Algorithm, cutoff: float) -> Column:
+    return fold(chosen, cutoff, {n: F.col(f"__f_{n}") for n, _ in (*chosen.highest, *chosen.summed, *chosen.penalties)})
+
+
 def score_pairs(pairs: DataFrame, model: S.Model, algorithm: str = "logic-v1", cutoff: float = 0.5, weights: Mapping[str, float] | None = None, explain: bool = False) -> DataFrame:
     """pairs with score, features (name to non-zero raw score) and, with explain, explanations.
 
@@ -92,13 +102,10 @@ def score_pairs(pairs: DataFrame, model: S.Model, algorithm: str = "logic-v1", c
     """
     chosen = ALGORITHMS[algorithm].weights(weights)
     names = list(dict.fromkeys(n for n, _ in (*chosen.highest, *chosen.summed, *chosen.penalties)))
-    able = S.can_match(model, F.col("q_schema"), F.col("c_schema"))
-    if chosen.gate:
-        able = able & S.hit_is_a(model, F.col("q_schema"), F.col("c_schema"))
     own = pairs.columns
     out = with_kernels(pairs, names, model)
-    out = out.select(*own, able.alias("__able"), *[FEATURES[n](model).alias(f"__f_{n}") for n in names])
-    out = out.select(*own, F.when(F.col("__able"), fold(chosen, cutoff, {n: F.col(f"__f_{n}") for n in names})).alias("__s"))
+    out = out.select(*own, remembered(_able, model, chosen.gate).alias("__able"), *[remembered(column, n, model).alias(f"__f_{n}") for n in names])
+    out = out.select(*own, F.when(F.col("__able"), remembered(_fold, chosen, cutoff)).alias("__s"))
     entries = F.coalesce(F.col("__s.entries"), F.array().cast(f"array<{_ENTRY}>"))
     shown = F.map_from_entries(F.transform(F.filter(entries, lambda e: e["score"] != 0), lambda e: F.struct(e["name"], e["score"])))
     more = []
@@ -110,6 +117,17 @@ def score_pairs(pairs: DataFrame, model: S.Model, algorithm: str = "logic-v1", c
 
 
 def pair_up(queries: DataFrame, hits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pair rows from derived queries and hits (see `entities.derive`) and a frame of (query_id, entity_id)."""
-    side = lambda df, s, key: df.select(F.col("id").alias(key), *[F.col(x).alias(f"{s}_{x}") for x in ("schema", "properties", "d")])
-    return pairs.join(side(queries, "q", "query_id"), "query_id").join(side(hits, "c", "entity_id"), "entity_id")
+    """Pair rows from derived queries and hits (see `entities.derive`) and a frame of (query_id, entity_id).
+
+    Derived values are columns of their own in the joins and a struct after them, so that those that no
+    feature of an algorithm reads are neither worked out nor sent.
+    """
+
+    def side(df: DataFrame, s: str, key: str) -> tuple[DataFrame, Column]:
+        names = df.schema["d"].dataType.names
+        flat = df.select(F.col("id").alias(key), *[F.col(x).alias(f"{s}_{x}") for x in ("schema", "properties")], *[F.col(f"d.{n}").alias(f"__{s}_{n}") for n in names])
+        return flat, F.struct(*[F.col(f"__{s}_{n}").alias(n) for n in names]).alias(f"{s}_d")
+
+    (left, q_d), (right, c_d) = side(queries, "q", "query_id"), side(hits, "c", "entity_id")
+    joined = pairs.join(left, "query_id").join(right, "entity_id")
+    return joined.select(*[c for c in joined.columns if not c.startswith(("__q_", "__c_"))], q_d, c_d)

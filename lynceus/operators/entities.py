@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from lynceus.functions import text
 from lynceus.functions.dictionaries import COUNTRIES
 from lynceus.operators.schema import Model, of
+from lynceus.session import remembered
 
 _LIST = T.ArrayType(T.StringType())
 SCHEMA = T.StructType(
@@ -86,10 +87,22 @@ def precompute(df: DataFrame, model: Model) -> DataFrame:
 
 def derive(df: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, schema, properties, the columns in keep, and a struct d of everything that features compare."""
-    names = group(model, "name")
-    base = df.withColumn("__names", names)
+    parts = remembered(_parts, model)
+    base = df.withColumn("__names", remembered(group, model, "name"))
+    out = base.select("id", "schema", "properties", *keep, *[c.alias(f"__{k}") for k, c in parts.items()])
+    out = out.withColumn("__sounds", remembered(_sounds))
+    names_ = [*parts, "sounds"]
+    return out.select("id", "schema", "properties", *keep, F.struct(*[F.col(f"__{k}").alias(k) for k in names_]).alias("d"))
+
+
+def _sounds() -> Column:
+    return text.soundex_codes(F.col("__flat"))
+
+
+def _parts(model: Model) -> dict[str, Column]:
+    """What features compare, by name, over a row with its names as __names."""
     n = F.col("__names")
-    parts = {
+    return {
         "names": n,
         "literal": text.clean_literal_names(n),
         "clean": text.clean_names(n),
@@ -112,7 +125,3 @@ def derive(df: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame
         "births": props("birthDate"),
         "wallets": F.filter(props("publicKey"), lambda x: F.octet_length(x) > 10),
     }
-    out = base.select("id", "schema", "properties", *keep, *[c.alias(f"__{k}") for k, c in parts.items()])
-    out = out.withColumn("__sounds", text.soundex_codes(F.col("__flat")))
-    names_ = [*parts, "sounds"]
-    return out.select("id", "schema", "properties", *keep, F.struct(*[F.col(f"__{k}").alias(k) for k in names_]).alias("d"))

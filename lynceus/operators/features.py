@@ -33,6 +33,11 @@ def feature(name: str):
     return add
 
 
+def column(name: str, model: S.Model) -> Column:
+    """A feature's raw score."""
+    return FEATURES[name](model)
+
+
 def q(name: str) -> Column:
     return F.col(f"q_d.{name}")
 

@@ -16,6 +16,7 @@ from lynceus.functions import kernels, text
 from lynceus.operators import schema as S
 from lynceus.operators.entities import group, values
 from lynceus.operators.symbols import tag
+from lynceus.session import remembered
 
 # Boosts of the clauses.
 FUZZY, KEY, PART, PHONETIC, TERM = 3.0, 4.0, 1.0, 0.8, 1.0
@@ -81,14 +82,24 @@ def name_keys(names: Column, sounds: Column) -> list[Column]:
     return [_key("name_keys", text.index_name_keys(names), KEY), _key("name_parts", text.index_name_parts(names), PART), _key("name_phonetic", sounds, PHONETIC)]
 
 
+def _sounds() -> Column:
+    return phonetic_column(F.col("__names"))
+
+
+def _keys(model: S.Model, matchable: bool, symbols: bool) -> Column:
+    """All keys of a row with __names, __sounds and, if asked for, symbols."""
+    keys = [*name_keys(F.col("__names"), F.col("__sounds")), *typed_keys(model, matchable)]
+    if symbols:
+        keys.append(F.transform(F.col("symbols"), lambda s: F.struct(F.lit("name_symbols").alias("kind"), s["symbol"].alias("key"), F.lit(1.0).alias("boost"))))
+    return F.explode(F.array_distinct(F.flatten(F.array(*keys))))
+
+
 def keyed(df: DataFrame, model: S.Model, names: Column, matchable: bool, symbols: bool = False) -> DataFrame:
     """(id, kind, key, boost) rows of entities or queries. With symbols, kind name_symbols too."""
-    out = df.withColumn("__names", names).withColumn("__sounds", phonetic_column(F.col("__names")))
-    keys = [*name_keys(F.col("__names"), F.col("__sounds")), *typed_keys(model, matchable)]
+    out = df.withColumn("__names", names).withColumn("__sounds", remembered(_sounds))
     if symbols:
         out = tag(out, F.col("__names"), model)
-        keys.append(F.transform(F.col("symbols"), lambda s: F.struct(F.lit("name_symbols").alias("kind"), s["symbol"].alias("key"), F.lit(1.0).alias("boost"))))
-    return out.select("id", F.explode(F.array_distinct(F.flatten(F.array(*keys)))).alias("k")).select("id", "k.*").filter("key is not null and key <> ''")
+    return out.select("id", remembered(_keys, model, matchable, symbols).alias("k")).select("id", "k.*").filter("key is not null and key <> ''")
 
 
 def deletions(word: Column, most: int) -> Column:

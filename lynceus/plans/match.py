@@ -15,6 +15,7 @@ from lynceus.operators import schema as S
 from lynceus.operators.algorithms import pair_up, score_pairs
 from lynceus.operators.entities import caption, complete, derive, group, precompute
 from lynceus.operators.filters import MatchParams
+from lynceus.session import cut
 from lynceus.sources.store import choose
 
 
@@ -80,7 +81,7 @@ def candidates(queries: DataFrame, index: Index, params: MatchParams, per_query:
         datasets = [d for d in params.include_dataset if d not in params.exclude_dataset]
     rows = X.apply(choose(index.entities, index.scoped, params.index_type), params, datasets)
     keys, names, _ = index.parts(rows)
-    q = R.sampled(queries, model, params.name_sample_size)
+    q = cut(R.sampled(queries, model, params.name_sample_size), "queries")
     qkeys = R.keyed(q, model, F.col("names"), matchable=True)
     found = R.fuzzy(q.select("id", "names"), names)
     if index.symbols:
@@ -122,11 +123,12 @@ def match(queries: DataFrame, index: Index, params: MatchParams | None = None, p
     """(query_id, entity_id, rank, score, match, total, boost, features[, explanations]) of each query's best hits.
 
     queries have at least id, schema and properties. Queries without hits have no rows; `respond` lists them.
+    Ready queries and candidates are written as tables between the steps, so that each is planned by itself.
     """
     params = params or MatchParams()
     model = index.model
-    ready = precompute(complete(queries), model)
-    pairs = candidates(ready, index, params, per_query)
+    ready = cut(precompute(complete(queries), model), "ready")
+    pairs = cut(candidates(ready, index, params, per_query), "candidates")
     _, _, derived = index.parts(index.entities)
     scored = score_pairs(pair_up(derive(ready, model), derived, pairs), model, params.algorithm, params.cutoff, params.weights, params.explain)
     out = rank(scored, params)

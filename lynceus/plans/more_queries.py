@@ -20,11 +20,12 @@ from lynceus.operators.features import FEATURES, disjoint, overlap, value_pairs
 from lynceus.operators.filters import MatchParams
 from lynceus.operators.symbols import tag
 from lynceus.plans.match import Index, match, rank
-from lynceus.plans.queries import _COMP, _NATIVE, _ORG_PAIRS, _PART_PAIRS, MODEL, _pairs, org_pairs, part_pairs, query
+from lynceus.plans.queries import _COMP, _MATCHED, _NATIVE, _ORG_PAIRS, _PART_PAIRS, MODEL, _pairs, org_pairs, part_pairs, query
+from lynceus.session import scratch
 from lynceus.sources import catalog as C
 from lynceus.sources import store
 from lynceus.sources import views as V
-from lynceus.streaming.screening import latest
+from lynceus.streaming.screening import latest, screen
 
 
 @query("txt2_ignored_separators", "SELECT p_partkey, array_to_string(regexp_split_to_array(p_name || '' || replace(p_brand, '.', ''), '[# ]'), '|') AS out FROM part")
@@ -247,3 +248,13 @@ def join4(spark: SparkSession, d: str) -> DataFrame:
     o = V.table(spark, d, "orders").select("o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("x"))
     pairs = o.join(o.select((F.col("o_orderkey") + 1).alias("o_orderkey"), F.col("x").alias("y")), "o_orderkey")
     return pairs.select(F.col("o_orderkey").alias("k"), overlap(F.col("x"), F.col("y")).alias("met"), disjoint(F.col("x"), F.col("y")).alias("apart"))
+
+
+@query("stream_screening_files", _MATCHED.format(candidates=20, near="false", same_country="true") + "SELECT query_id, entity_id, CAST(rank AS INTEGER) AS rank, score, match, total FROM r WHERE rank <= 1")
+def stream_screening_files(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as a stream of files, screened in micro-batches; each batch's results are written under its number."""
+    at = scratch(spark, "stream")
+    files = spark.readStream.schema(V.table(spark, d, "supplier").schema).option("pathGlobFilter", "supplier.parquet").parquet(d)
+    sink = lambda out, epoch: out.drop("features", "boost").write.mode("overwrite").parquet(f"{at}/out/batch={epoch}")
+    screen(V.suppliers(spark, d, files), Index(V.companies(spark, d), MODEL), MatchParams(cutoff=0.0, limit=1), sink, f"{at}/state", once=True).awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")

@@ -29,9 +29,9 @@ def companies(spark: SparkSession, folder: str) -> DataFrame:
     return complete(rows.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("caption"), F.lit("Company").alias("schema"), F.array("n_name").alias("datasets"), referents.alias("referents"), F.lit(True).alias("target"), props.alias("properties")))
 
 
-def suppliers(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers as company queries."""
-    s, n = table(spark, folder, "supplier"), table(spark, folder, "nation")
+def suppliers(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
+    """Suppliers, those of the table or others, as company queries."""
+    s, n = table(spark, folder, "supplier") if rows is None else rows, table(spark, folder, "nation")
     rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     props = properties(name=F.col("s_name"), country=F.lower("n_name"), registrationNumber=F.regexp_extract("s_name", r"(\d+)", 1))
     return complete(rows.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("caption"), F.lit("Company").alias("schema"), F.array("n_name").alias("datasets"), props.alias("properties")))

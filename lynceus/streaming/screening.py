@@ -18,17 +18,18 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return complete(spark.readStream.schema(SCHEMA).json(path))
 
 
-def screen(queries: DataFrame, index: Index, params: MatchParams, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def screen(queries: DataFrame, index: Index, params: MatchParams, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """Match each micro-batch of queries as one batch and hand its results to the sink.
 
     The store is static, so no state is kept; a batch that is run again gives the same results, and the sink
-    gets the batch id to write them once.
+    gets the batch id to write them once. With once, the stream ends when what is there now is done.
     """
 
     def each(batch: DataFrame, epoch: int) -> None:
         sink(match(batch, index, params), epoch)
 
-    return queries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    out = queries.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
 
 
 def latest(changes: DataFrame) -> DataFrame:
