@@ -29,36 +29,45 @@ def _stage(f: Stage) -> Stage:
 
 
 def _counted(docs: DataFrame, before: DataFrame) -> DataFrame:
-    """n_chars follows the text that a stage has changed; all else as it was."""
+    """n_chars, where there is one, follows the text that a stage has changed; all else as it was."""
+    if "n_chars" not in before.columns:
+        return docs
     size = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(before.schema["n_chars"].dataType))
     return docs.withColumn("n_chars", size).select(*before.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID rejects go: no text, no letter, or far from every language."""
+    """Documents that language ID rejects go: null, empty or without a letter, or farther from their nearest
+    centroid than nearly all training texts of their length. Equal texts fare alike; repeated rows stay repeated;
+    an empty table stays empty."""
     model = langid.fit(docs.filter(~langid.held_out("doc_id", 5)).select("doc_id", "text", "lang"))
     return langid.identify(docs, model, prefix="__").filter("not __rejected").select(*docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each near-duplicate group stays, that with the smallest doc_id: five-word shingles,
+    similarity of 0.8 or more. Null and blank texts, which have no shingles, and rows without a doc_id are in no
+    group and stay; rows with equal doc_ids stay or go together."""
     gone = near_duplicates(docs, words=5, percent=80).filter("not kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that a smaller document has too leave the text; an emptied document goes."""
+    """Passages of 50 words or more that a document with a smaller doc_id has too leave the text; a document
+    that is empty goes. Null texts and rows without a doc_id stay as they are; what one document repeats stays."""
     less = substring_dedup(docs)
     return _counted(less.filter("text is null or text <> '' "), docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; from the others the words that test items hit go."""
+    """Documents of which a twentieth of the words or more are in windows of test items go; from the others
+    these words go. Null and empty texts, and all texts if there are no items, stay as they are."""
     return _counted(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of what is left, and their sequences."""
+    """Token pieces of what is left, and their sequences. Null and empty texts are one piece of the end alone;
+    repeated rows are packed each for itself; no documents give no pieces."""
     return pack(docs, tokenizer())
 
 
