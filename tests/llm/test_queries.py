@@ -61,3 +61,26 @@ def test_pipeline_against_brute_force(spark):
     assert d.columns == names and {r.doc_id for r in d.collect()} == {i for i, (n, h, _) in report.items() if not (h and 20 * h >= n)}
     got = run(spark, FOLDER)
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in d.collect()}
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, no n_chars, columns of names that operators use, nulls, repeats and a very long text."""
+    from corpus_pipeline import STAGES
+    from tests.llm.helpers import CLASH
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([("i", " ".join(f"q{i}" for i in range(20)))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    word = lambda i: f"{'abcdefgh'[i % 8]}{'aeiou'[i % 5]}{'lmnrst'[i % 6]}{i % 97}"
+    texts = [" ".join(word(i * j + j) for i in range(60)) for j in range(1, 40)]
+    rows = [*enumerate(texts), (100, " ".join(word(i) for i in range(60_000))), (101, None), (102, ""), (None, texts[3]), (5, texts[5]), (103, texts[7])]
+    plain = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    for docs in (plain, plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASH)]), plain.limit(0)):
+        for name, stage in STAGES[:-1]:
+            got = stage(spark, docs, str(tmp_path))
+            assert got.columns == docs.columns
+            kept = [r.doc_id for r in got.collect()]
+            assert (len(kept) == 0) == (docs.isEmpty())
+            if kept and name == "minhash_dedup":
+                assert 103 not in kept and kept.count(5) == 2 and None in kept and 101 in kept
+        pieces = STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert (len(pieces) == 0) == docs.isEmpty()
