@@ -26,8 +26,9 @@ DIMS = 4096
 FIT_ROWS = 800
 CENTROIDS = 4
 #: Share of a centroid's training rows, by length, that lie beyond its limit, and what is added to their distance.
-BEYOND, MARGIN = 0.002, 0.05
-#: Length classes are powers of two of bytes. One with fewer rows than this is limited with the shorter ones.
+BEYOND, MARGIN = 0.002, 0.1
+#: Length classes are powers of two of bytes. One with fewer rows than this is limited with the shorter ones; where
+#: all of these are fewer, the margin is wider by the root of how many times.
 CLASSES, LEAST_ROWS = 32, 500
 BINS = 200
 UNKNOWN = "und"
@@ -149,8 +150,9 @@ def limits(total: np.ndarray, beyond: float = BEYOND, margin: float = MARGIN, le
             while rows.sum() < least and a:
                 a -= 1
                 rows += by_size[a]
-            if rows.sum():
-                out[j, b] = max(0.0, int(np.searchsorted(np.cumsum(rows), beyond * rows.sum(), "right")) / total.shape[2] - margin)
+            if n := int(rows.sum()):
+                ends = int(np.searchsorted(np.cumsum(rows), beyond * n, "right")) / total.shape[2]
+                out[j, b] = max(0.0, ends - margin * max(1.0, (least / n) ** 0.5))
     return out
 
 

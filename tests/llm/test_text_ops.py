@@ -247,13 +247,13 @@ def test_language_id(spark):
 
 def test_language_id_rejects_what_is_far(spark):
     rng = random.Random(3)
-    rows = [(i, t * 3, l) for i, t, l in _languages(300)]
+    rows = [(i, t * 3, l) for i, t, l in _languages(3000)]
     noise = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(60))
-    docs = spark.createDataFrame([*rows, (900, noise, None), (901, "かな文字だけの長い文章です。" * 20, None), (902, rows[0][1], None), (903, rows[0][1], None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*rows, (9000, noise, None), (9001, "かな文字だけの長い文章です。" * 20, None), (9002, rows[0][1], None), (9003, rows[0][1], None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.identify(docs, langid.fit(docs.filter("lang is not null"))).collect()}
-    assert got[900].rejected and got[901].rejected and got[900].lang_pred != "und"
+    assert got[9000].rejected and got[9001].rejected and got[9000].lang_pred != "und"
     assert sum(got[i].rejected for i, _, _ in rows) <= 0.01 * len(rows)
-    assert got[902].lang_pred == got[903].lang_pred == "aa" and got[902].score == got[903].score
+    assert got[9002].lang_pred == got[9003].lang_pred == "aa" and got[9002].score == got[9003].score
 
 
 def test_language_id_against_brute_force(spark):
