@@ -217,18 +217,16 @@ ANA = {"schema": "Person", "properties": {"name": ["Ana Maria Lopez"]}}
 def test_own_datasets_take_the_place_of_the_requests(spark, scopes):
     engine = Engine(spark, Index(entities(spark, PEOPLE), MODEL, scopes=scopes))
 
-    def found(own=None, body=None, scope="all"):
-        got = engine.match({"q": ANA | ({"params": own} if own is not None else {}), "other": ANA}, MatchParams(scope=scope), body).collect()
+    def found(body=None, scope="all", **own):
+        got = engine.match({"other": ANA} | {k: ANA | {"params": v} for k, v in own.items()}, MatchParams(scope=scope), body).collect()
         return {r.query_id: {x.id for x in r.results or ()} for r in got}
 
-    assert found() == {"q": {"e1", "e2"}, "other": {"e1", "e2"}}
-    assert found({"include_datasets": ["two"]}, {"include_datasets": ["one"]}) == {"q": {"e2"}, "other": {"e1"}}
-    assert found({"exclude_datasets": ["two"]}, {"exclude_datasets": ["one"]}) == {"q": {"e1"}, "other": {"e2"}}
-    assert found({"exclude_datasets": []}, {"exclude_datasets": ["one"]}) == {"q": {"e1", "e2"}, "other": {"e2"}}
-    assert found({"include_datasets": []}, {"include_datasets": ["one"]}) == {"q": {"e1", "e2"}, "other": {"e1"}}
-    assert found({"include_datasets": ["one"]}, {"exclude_datasets": ["one"]}) == {"q": set(), "other": {"e2"}}
+    include, exclude = ({f"{x}_datasets": v} for x, v in (("include", ["two"]), ("exclude", ["two"])))
+    assert found(q=include) == {"q": {"e2"}, "other": {"e1", "e2"}}
+    assert found({"include_datasets": ["one"]}, q=include, empty={"include_datasets": []}) == {"q": {"e2"}, "empty": {"e1", "e2"}, "other": {"e1"}}
+    assert found({"exclude_datasets": ["one"]}, q=exclude, empty={"exclude_datasets": []}, barred={"include_datasets": ["one"]}) == {"q": {"e1"}, "empty": {"e1", "e2"}, "barred": set(), "other": {"e2"}}
     if scopes:
-        assert found({"include_datasets": ["two"]}, scope="one") == {"q": set(), "other": {"e1"}}
+        assert found(scope="one", q=include) == {"q": set(), "other": {"e1"}}
 
 
 def test_weights_of_environment_request_and_body(spark, monkeypatch):
