@@ -3,6 +3,28 @@ import random
 import pytest
 
 from lynceus.operators import retrieval as R
+from lynceus.plans.queries import QUERIES
+
+
+def made(df):
+    """The most rows that a step of the frame's plan makes; the rows."""
+    rows = df.collect()
+    seen = []
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(p.plan())
+        m = p.metrics().get("numOutputRows")
+        seen.append(m.get().value() if m.isDefined() else 0)
+        c = p.children()
+        for i in range(c.size()):
+            walk(c.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(seen), rows
 
 
 @pytest.fixture
@@ -25,3 +47,21 @@ def test_block_makes_each_pair_once_and_sends_none(monkeypatch, keys, deal):
     assert len(rows) == len(boosts) and {(r.query_id, r.entity_id): r.boost for r in rows} == boosts
     above = got._jdf.queryExecution().sparkPlan().toString().split("Join", 1)[0]
     assert "Generate" in above and "Aggregate" not in above and "Exchange" not in above
+
+
+@pytest.mark.parametrize("frequent, limit", [(0, 4), (5, 1), (5, 7), (12, 20), (1000, 4)])
+def test_best_are_the_first_of_all_pairs(monkeypatch, keys, frequent, limit):
+    monkeypatch.setattr(R, "FREQUENT", frequent)
+    q, e, boosts = keys
+    want = set()
+    for a in {a for a, _ in boosts}:
+        mine = sorted((-v, b) for (x, b), v in boosts.items() if x == a)
+        want |= {(a, b, -v, i) for i, (v, b) in enumerate(mine[:limit], 1)}
+    got = R.best(q, e, limit).select("query_id", "entity_id", "boost", "rank").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_copies_of_parts_are_not_paired(spark, tmp_path):
+    spark.range(4000).selectExpr("id p_partkey", "if(id % 2 = 0, 'hot bolt', 'hot ring') p_name", "concat('Brand#', id % 3) p_brand", "'T' p_type").write.parquet(f"{tmp_path}/part.parquet")
+    most, rows = made(QUERIES["join1_block_parts"](spark, str(tmp_path)))
+    assert len(rows) == 40 * 20 and {r.boost for r in rows} == {2.0} and most < 20_000
