@@ -65,3 +65,19 @@ def test_copies_of_parts_are_not_paired(spark, tmp_path):
     spark.range(4000).selectExpr("id p_partkey", "if(id % 2 = 0, 'hot bolt', 'hot ring') p_name", "concat('Brand#', id % 3) p_brand", "'T' p_type").write.parquet(f"{tmp_path}/part.parquet")
     most, rows = made(QUERIES["join1_block_parts"](spark, str(tmp_path)))
     assert len(rows) == 40 * 20 and {r.boost for r in rows} == {2.0} and most < 20_000
+
+
+@pytest.mark.parametrize("frequent", [0, 20, 1000])
+def test_best_symbols_are_the_first_of_all_pairs(spark, tmp_path, monkeypatch, frequent):
+    monkeypatch.setattr(R, "FREQUENT", frequent)
+    spark.createDataFrame([(0, "CHAD")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(60).selectExpr("id s_suppkey", "concat('Supplier#', lpad(id % 40, 9, '0')) s_name", "0 s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(300).selectExpr("id c_custkey", "concat('Customer#', lpad(id % 50, 9, '0')) c_name", "0 c_nationkey", "'M' c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    calls = []
+    monkeypatch.setattr(R, "best_symbols", lambda *a, f=R.best_symbols: calls.append(a) or f(*a))
+    most, rows = made(QUERIES["join1c_symbols"](spark, str(tmp_path)))
+    q, e, model, limit = calls[0]
+    want = R.top(R.symbol_scores(q, e, model), limit).collect()
+    short = lambda rs: {(r.query_id, r.entity_id, round(r.boost, 9)) for r in rs}
+    assert len(rows) == len(want) == 60 * 20 and short(rows) == short(want)
+    assert frequent != 20 or most < 60 * 300
