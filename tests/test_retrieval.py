@@ -81,3 +81,15 @@ def test_best_symbols_are_the_first_of_all_pairs(spark, tmp_path, monkeypatch, f
     short = lambda rs: {(r.query_id, r.entity_id, round(r.boost, 9)) for r in rs}
     assert len(rows) == len(want) == 60 * 20 and short(rows) == short(want)
     assert frequent != 20 or most < 60 * 300
+
+
+def test_pairs_by_country_are_not_sent(spark, tmp_path):
+    spark.createDataFrame([(0, "CHAD"), (1, "PERU")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(100).selectExpr("id s_suppkey", "concat('Supplier#', id) s_name", "int(id % 2) s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(300).selectExpr("id c_custkey", "concat('Customer#', id % 150) c_name", "int(id % 2) c_nationkey", "'M' c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    got = QUERIES["join1d_typed_keys"](spark, str(tmp_path))
+    rows = got.collect()
+    want = {(f"S{s}", f"C{c}"): float(s == c % 150) + (s % 2 == c % 2) for s in range(100) for c in range(300) if s == c % 150 or s % 2 == c % 2}
+    assert len(rows) == len(want) and {(r.query_id, r.entity_id): r.boost for r in rows} == want
+    above = got._jdf.queryExecution().sparkPlan().toString().split("Join", 1)[0]
+    assert "Generate" in above and "Aggregate" not in above
