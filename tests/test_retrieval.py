@@ -1,9 +1,13 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lynceus.operators import retrieval as R
-from lynceus.plans.queries import QUERIES
+from lynceus.operators.entities import complete, precompute
+from lynceus.operators.filters import MatchParams
+from lynceus.plans.match import Index, candidates
+from lynceus.plans.queries import MODEL, QUERIES
 
 
 def made(df):
@@ -93,3 +97,32 @@ def test_pairs_by_country_are_not_sent(spark, tmp_path):
     assert len(rows) == len(want) and {(r.query_id, r.entity_id): r.boost for r in rows} == want
     above = got._jdf.queryExecution().sparkPlan().toString().split("Join", 1)[0]
     assert "Generate" in above and "Aggregate" not in above
+
+
+@pytest.mark.parametrize("frequent, limit", [(2, 1), (40, 3), (1000, 3)])
+def test_candidates_are_the_best_of_all_pairs(spark, monkeypatch, frequent, limit):
+    """Names nearly alike, shared words and countries; some entities are of schemas that can't match."""
+    monkeypatch.setattr(R, "FREQUENT", frequent)
+    r = random.Random(3)
+    words = ["alpha", "alphq", "betas", "gamma", "delta", "deltb"]
+
+    def some(prefix, n, schemas):
+        rows = [(f"{prefix}{i}", r.choice(schemas), {"name": [" ".join(r.sample(words, 2))], "country": [r.choice(["fr", "de"])]}) for i in range(n)]
+        return spark.createDataFrame(rows, "id string, schema string, properties map<string, array<string>>")
+
+    q = precompute(complete(some("q", 12, ["Company"])), MODEL).cache()
+    index = Index(complete(some("e", 120, ["Company", "Company", "Vessel"])).cache(), MODEL)
+    params = MatchParams(limit=limit, candidate_factor=2)
+    # lists of one's own, here empty ones, take the way by all pairs
+    own = q.select(F.col("id").alias("query_id"), F.array().cast("array<string>").alias("include_datasets"))
+    short = lambda df: sorted((x.query_id, x.entity_id, round(x.boost, 9)) for x in df.collect())
+    most, rows = made(candidates(q, index, params))
+    want = short(candidates(q, index, params, own))
+    assert sorted((x.query_id, x.entity_id, round(x.boost, 9)) for x in rows) == want and len(want) == 12 * params.candidate_limit()
+
+
+def test_candidates_by_country_are_not_paired(spark):
+    rows = lambda p, n: spark.range(n).selectExpr(f"concat('{p}', id) id", "'Company' schema", f"map('name', array(concat('{p * 5}', ' ', lpad(id % 20, 9, '0'))), 'country', array('fr')) properties")
+    q = precompute(complete(rows("q", 200)), MODEL)
+    most, got = made(candidates(q, Index(complete(rows("e", 2000)), MODEL), MatchParams()))
+    assert len(got) == 200 * 50 and most < 100_000
