@@ -126,3 +126,15 @@ def test_candidates_by_country_are_not_paired(spark):
     q = precompute(complete(rows("q", 200)), MODEL)
     most, got = made(candidates(q, Index(complete(rows("e", 2000)), MODEL), MatchParams()))
     assert len(got) == 200 * 50 and most < 100_000
+
+
+def test_alike_parts_are_scored_once(spark, tmp_path):
+    """Two names and three brands, many copies: totals and the first five by id, the query itself left out."""
+    n = 1200
+    spark.range(n).selectExpr("id p_partkey", "if(id % 2 = 0, 'hot bolt', 'hot ring') p_name", "concat('Brand#', id % 3) p_brand", "'T' p_type").write.parquet(f"{tmp_path}/part.parquet")
+    most, rows = made(QUERIES["flagship_match"](spark, str(tmp_path)))
+    want = set()
+    for q in range(0, n, 100):
+        hits = sorted((-(1.0 - 0.2 * (q % 3 != c % 3)), f"P{c}") for c in range(n) if c != q and q % 2 == c % 2)
+        want |= {(f"P{q}", c, i, -s, True, len(hits)) for i, (s, c) in enumerate(hits[:5], 1)}
+    assert {(r.query_id, r.entity_id, r.rank, r.score, r.match, r.total) for r in rows} == want and most < 5 * n
