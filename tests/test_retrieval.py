@@ -138,3 +138,13 @@ def test_alike_parts_are_scored_once(spark, tmp_path):
         hits = sorted((-(1.0 - 0.2 * (q % 3 != c % 3)), f"P{c}") for c in range(n) if c != q and q % 2 == c % 2)
         want |= {(f"P{q}", c, i, -s, True, len(hits)) for i, (s, c) in enumerate(hits[:5], 1)}
     assert {(r.query_id, r.entity_id, r.rank, r.score, r.match, r.total) for r in rows} == want and most < 5 * n
+
+
+def test_pairs_of_a_frequent_key_are_written_small(spark, tmp_path):
+    """Entities of one key come in short runs, query after query, so that files of pairs hold them as repeats."""
+    key = lambda rows, letter: rows.selectExpr(f"concat('{letter}', id) id", "'countries' kind", "'chad' key", "1D boost")
+    pairs = R.block(key(spark.range(200), "S"), key(spark.range(20_000), "C"))
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.count() == got.distinct().count() == 200 * 20_000 and got.filter("boost = 1").count() == 200 * 20_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").rglob("*.parquet")) < 200 * 20_000 * 0.6
