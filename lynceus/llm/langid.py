@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from lynceus.llm import vec
 
 DIMS = 4096
+#: Texts that are counted at once, at most: a row of DIMS counts, and a few as large, are held for each, however short it is.
+BLOCK = 256
 #: Training rows of a language that its centroids are fitted on, at most; all else is counted on all rows.
 FIT_ROWS = 800
 CENTROIDS = 4
@@ -62,7 +64,7 @@ def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(DIMS, np.int64), 0
     for batch in batches:
-        for lo, hi, buf, off in vec.chunks(batch.column(0)):
+        for lo, hi, buf, off in vec.chunks(batch.column(0), rows=BLOCK):
             df += (counts(buf, off) > 0).sum(axis=0)
             n += hi - lo
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[np.arange(DIMS), -1]), pa.array(np.r_[df, n])], ["dim", "df"])
@@ -71,7 +73,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The n-grams that a text has, two bytes each, and how often, four bytes each."""
     for batch in batches:
-        for lo, hi, buf, off in vec.chunks(batch.column(1), 1 << 20):
+        for lo, hi, buf, off in vec.chunks(batch.column(1), 1 << 20, BLOCK):
             rows = [(np.flatnonzero(x), x) for x in counts(buf, off)]
             dims, n = (pa.array(c, pa.binary()) for c in ([d.astype("<u2").tobytes() for d, _ in rows], [x[d].astype("<u4").tobytes() for d, x in rows]))
             yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], dims, n, batch.column(2)[lo:hi]], ["lang", "dims", "n", "place"])
@@ -133,7 +135,7 @@ def _distances(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBat
     m: LanguageModel = sent.value
     total = np.zeros((len(m.languages), CLASSES, BINS), np.int64)
     for batch in batches:
-        for _, _, buf, off in vec.chunks(batch.column(0)):
+        for _, _, buf, off in vec.chunks(batch.column(0), rows=BLOCK):
             best, score, size = m.nearest(buf, off)
             np.add.at(total, (best, size, np.clip((score * BINS).astype(np.int64), 0, BINS - 1)), 1)
     at = np.nonzero(total)
@@ -199,7 +201,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model, text: int, keep: list[int
     m: LanguageModel = model.value
     names = np.array([*m.languages, UNKNOWN], dtype=object)
     for batch in batches:
-        for lo, hi, buf, off in vec.chunks(batch.column(text)):
+        for lo, hi, buf, off in vec.chunks(batch.column(text), rows=BLOCK):
             best, score, limit = np.full(hi - lo, len(names) - 1), np.zeros(hi - lo), np.zeros(hi - lo)
             if m.languages:
                 best, score, size = m.nearest(buf, off)

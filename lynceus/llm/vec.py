@@ -46,13 +46,13 @@ def binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a column into runs of rows of about `limit` bytes: first row, end row, bytes, offsets."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a column into runs of about `limit` bytes and at most `rows` rows: first row, end row, bytes, offsets."""
     buf, off = binary(column)
     n, lo = len(off) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + (rows or n))
         yield lo, hi, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 

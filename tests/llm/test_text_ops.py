@@ -392,3 +392,19 @@ def test_toxicity_on_held_out_rows():
     score, y = tagger.score(p, ptr), y[out]
     auc = np.mean((score[y == 1][:, None] > score[y == 0]) + 0.5 * (score[y == 1][:, None] == score[y == 0]))
     assert auc > 0.85 and (score[y == 0] < 0.5).mean() > 0.98 and (score[y == 1] >= 0.5).mean() > 0.55
+
+
+def test_languages_of_many_short_texts_are_counted_in_blocks(monkeypatch):
+    """A row of counts is far larger than a short text, so rows bound a block, not bytes alone."""
+    at_once, counts = [], langid.counts
+    monkeypatch.setattr(langid, "counts", lambda buf, off: at_once.append(len(off) - 1) or counts(buf, off))
+    n = 2000
+    texts, langs = pa.array([f"word {i} abc" for i in range(n)]), pa.array(["aa"] * n)
+    sent = type("Sent", (), {"value": langid.LanguageModel(np.ones(langid.DIMS, np.float32), np.ones((1, langid.DIMS), np.float32), ["aa"], np.zeros((1, langid.CLASSES)))})
+    row = lambda *columns: iter([pa.RecordBatch.from_arrays(list(columns), [str(i) for i in range(len(columns))])])
+    assert sum(b.column(1).to_pylist()[-1] for b in langid._frequencies(row(texts))) == n
+    assert sum(len(b) for b in langid._sampled(row(langs, texts, pa.array(range(n))))) == n
+    assert sum(sum(b.column(3).to_pylist()) for b in langid._distances(row(texts), sent)) == n
+    got = pa.Table.from_batches(langid._predict(row(texts, pa.array([True] * n)), sent, 0, [0]))
+    assert got.column(0).to_pylist() == texts.to_pylist() and set(got.column(1).to_pylist()) == {"aa"}
+    assert sum(at_once) == 4 * n and max(at_once) <= langid.BLOCK < n
