@@ -17,15 +17,15 @@ from lynceus.llm.minhash import near_duplicates
 from lynceus.llm.packing import pack
 from lynceus.llm.queries import tokenizer
 from lynceus.llm.shared import cut
-from lynceus.session import ready
+from lynceus.session import lean
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _stage(f: Stage) -> Stage:
-    """A stage whose session's workers can import the operators."""
-    return lambda spark, docs, sf_dir: f(ready(spark), docs, sf_dir)
+    """A stage whose session's workers can import the operators and get small batches."""
+    return lambda spark, docs, sf_dir: f(lean(spark), docs, sf_dir)
 
 
 def _counted(docs: DataFrame, before: DataFrame) -> DataFrame:

@@ -84,3 +84,24 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
                 assert 103 not in kept and kept.count(5) == 2 and None in kept and 101 in kept
         pieces = STAGES[-1][1](spark, docs, str(tmp_path)).collect()
         assert (len(pieces) == 0) == docs.isEmpty()
+
+
+def test_stages_get_batches_of_few_bytes(spark):
+    """Each task holds batches outside the heap, so a stage's are small; a session's own setting stays."""
+    from corpus_pipeline import _stage
+
+    def sizes(batches):
+        yield from (type(b).from_pydict({"n": [b.nbytes]}) for b in batches)
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 200, 1, 1).selectExpr("id doc_id", "repeat('abcdefghij', 10000) text")
+    stage, before = _stage(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n long")), spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        got = [r.n for r in stage(spark, docs, "").collect()]
+        assert sum(got) >= 20_000_000 and max(got) <= 5 << 20
+        spark.conf.set(key, "9m")
+        stage(spark, docs, "")
+        assert spark.conf.get(key) == "9m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
