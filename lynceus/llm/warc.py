@@ -125,7 +125,7 @@ def _store(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 
 def _index(batches: Iterator[pa.RecordBatch], folder: str, size: int) -> Iterator[pa.RecordBatch]:
-    """Write sorted captures in compressed blocks; report first key, file, offset, length and captures of each."""
+    """Write sorted captures in compressed blocks; report first and last key, file, offset, length and captures of each."""
     system, base = _open(folder)
     system.create_dir(base, recursive=True)
     out, name, offset, held, done = None, f"index-{uuid.uuid4().hex}.cdx.gz", 0, [], []
@@ -136,7 +136,7 @@ def _index(batches: Iterator[pa.RecordBatch], folder: str, size: int) -> Iterato
             out = system.open_output_stream(f"{base}/{name}", compression=None)
         data = _gzip("\n".join(json.dumps(x, ensure_ascii=False) for x in held).encode())
         out.write(data)
-        done.append((held[0][0], name, offset, len(data), len(held)))
+        done.append((held[0][0], held[-1][0], name, offset, len(data), len(held)))
         offset += len(data)
         held.clear()
 
@@ -149,8 +149,8 @@ def _index(batches: Iterator[pa.RecordBatch], folder: str, size: int) -> Iterato
         flush()
     if out is not None:
         out.close()
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], ["first_key", "file", "offset", "length", "captures"])
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], ["first_key", "last_key", "file", "offset", "length", "captures"])
 
 
 def _block(file, offset: int, length: int) -> list[list]:
@@ -231,7 +231,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], sent, folder: str, payload: bool)
             if block != now:
                 yield from _records(wanted, at, payload)
                 now, wanted = block, []
-                captures = _block(at(sent.value[block][1]), *sent.value[block][2:])
+                captures = _block(at(sent.value[block][2]), *sent.value[block][3:])
                 keys = [c[0] for c in captures]
             wanted += captures[bisect_left(keys, key) : bisect_right(keys, key)]
     yield from _records(wanted, at, payload)
@@ -249,9 +249,13 @@ class Archives:
         return "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
 
     def _blocks(self) -> list[tuple]:
-        """The sparse directory (first key, file, offset, length), about BLOCKS rows at most, read once per object."""
+        """The sparse directory (first key, last key, file, offset, length), about BLOCKS rows at most, read once per object.
+
+        In the order of captures: of the blocks that begin with one key, in files of any names, that which has others
+        after it is the last.
+        """
         if self._sorted is None:
-            self._sorted = sorted(tuple(r) for r in self.directory.select("first_key", "file", "offset", "length").collect())
+            self._sorted = sorted(tuple(r) for r in self.directory.select("first_key", "last_key", "file", "offset", "length").collect())
         return self._sorted
 
     def records(self, payload: bool = False) -> DataFrame:
@@ -277,7 +281,7 @@ class Archives:
         """The records captured under a URL's key, from the driver: two bisections and range reads."""
         key, at, out = surt(url), _Files(self.folder), []
         for b in _bisect([k[0] for k in self._blocks()], key):
-            _, file, offset, length = self._blocks()[b]
+            _, _, file, offset, length = self._blocks()[b]
             rows = _block(at(file), offset, length)
             keys = [r[0] for r in rows]
             for r in rows[bisect_left(keys, key) : bisect_right(keys, key)]:
@@ -310,5 +314,5 @@ def write(pages: DataFrame, least_bytes: int = 0, block: int = BLOCK) -> Archive
     captures = cut(rows.mapInArrow(partial(_store, folder=folder), "surt string, page_id long, archive string, offset long, length long"), "captures")
     size = max(block, -(-captures.count() // BLOCKS))
     captures = captures.repartitionByRange(parts, "surt", "page_id").sortWithinPartitions("surt", "page_id")
-    directory = cut(captures.mapInArrow(partial(_index, folder=folder, size=size), "first_key string, file string, offset long, length long, captures int"), "directory")
+    directory = cut(captures.mapInArrow(partial(_index, folder=folder, size=size), "first_key string, last_key string, file string, offset long, length long, captures int"), "directory")
     return Archives(folder, directory)

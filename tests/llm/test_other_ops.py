@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import os
+import shutil
 
 import numpy as np
 import pytest
@@ -116,6 +118,23 @@ def test_keys_and_payloads_of_very_many_pages(spark, monkeypatch):
     assert len(got) == len(rows) and {r.page_id: r.refers_to for r in got} == {i: None if last[h] == i else last[h] for i, _, h in rows}
 
 
+def test_names_of_index_files_do_not_count(spark):
+    """A key over several index files, the last of which goes on with others: all are found, however the files are named."""
+    rows = [(i, "http://a.b/" if i < 900 else f"http://c.d/{i}", f"x{i}") for i in range(1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a = warc.write(pages, block=300)
+    found, folder = a.directory.collect(), a.folder.removeprefix("file://")
+    files = sorted({r.file for r in found})
+    assert len({r.file for r in found if r.first_key == "b,a)/"}) > 1
+    for names in (files, files[::-1]):
+        new = {f: f"index-{len(os.listdir(folder)):04}-{i:04}.cdx.gz" for i, f in enumerate(names)}
+        for f in files:
+            shutil.copy(f"{folder}/{f}", f"{folder}/{new[f]}")
+        named = warc.Archives(a.folder, spark.createDataFrame([r.asDict() | {"file": new[r.file]} for r in found], a.directory.schema))
+        assert sorted(r.page_id for r in named.fetch(pages).collect()) == list(range(1000))
+        assert [len(named.lookup(u)) for _, u, _ in rows[899:]] == [900] + [1] * 100
+
+
 def test_stores_by_the_names_that_spark_uses():
     assert warc._open("file:///tmp")[1] == warc._open("file:/tmp")[1] == warc._open("/tmp")[1] == "/tmp"
     assert [warc._uri(x) for x in ("s3a://b/x", "s3n://b/x", "gs://b/x", "hdfs://h:1/x", "abfs://c@a/x")] == ["s3://b/x", "s3://b/x", "gs://b/x", "hdfs://h:1/x", "abfss://c@a/x"]
