@@ -10,8 +10,8 @@ from lynceus.plans.match import Index, candidates
 from lynceus.plans.queries import MODEL, QUERIES
 
 
-def made(df):
-    """The most rows that a step of the frame's plan makes; the rows."""
+def made(df, of=""):
+    """The most rows that a step (of a kind) of the frame's plan makes; the rows."""
     rows = df.collect()
     seen = []
 
@@ -22,7 +22,7 @@ def made(df):
         if kind.endswith("QueryStageExec"):
             return walk(p.plan())
         m = p.metrics().get("numOutputRows")
-        seen.append(m.get().value() if m.isDefined() else 0)
+        seen.append(m.get().value() if m.isDefined() and of in kind else 0)
         c = p.children()
         for i in range(c.size()):
             walk(c.apply(i))
@@ -148,3 +148,24 @@ def test_pairs_of_a_frequent_key_are_written_small(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/pairs")
     assert got.count() == got.distinct().count() == 200 * 20_000 and got.filter("boost = 1").count() == 200 * 20_000
     assert sum(p.stat().st_size for p in (tmp_path / "pairs").rglob("*.parquet")) < 200 * 20_000 * 0.6
+
+
+@pytest.mark.parametrize("run, deal", [(1, 1), (2, 5), (7, 20)])
+def test_block_by_runs_of_any_length(monkeypatch, keys, run, deal):
+    monkeypatch.setattr(R, "RUN", run)
+    monkeypatch.setattr(R, "DEAL", deal)
+    q, e, boosts = keys
+    rows = R.block(q, e).collect()
+    assert len(rows) == len(boosts) and {(r.query_id, r.entity_id): r.boost for r in rows} == boosts
+
+
+def test_entities_with_keys_of_their_own_are_met_in_runs(spark, tmp_path):
+    """Events of 200 users and two types; every user is a query of both types, and meets a type's events run by run."""
+    spark.range(1600).selectExpr("id event_id", "id % 200 user_id", "concat('t', id % 2) event_type").write.parquet(f"{tmp_path}/events.parquet")
+    e = spark.read.parquet(f"{tmp_path}/events.parquet")
+    key = lambda rows, kind, c, boost: rows.selectExpr("id", f"'{kind}' kind", f"string({c}) key", f"double({boost}) boost")
+    both = lambda rows: key(rows, "user", "user_id", 2).unionByName(key(rows, "type", "event_type", 1))
+    q = e.filter("event_id < 200").selectExpr("concat('U', user_id) id", "user_id", "explode(array('t0', 't1')) event_type")
+    most, rows = made(R.block(both(q), both(e.selectExpr("concat('E', event_id) id", "user_id", "event_type"))), "Join")
+    assert len(rows) == 200 * 1600 and most < 10_000
+    assert {(r.query_id, r.entity_id): r.boost for r in rows} == {(f"U{u}", f"E{i}"): 1.0 + 2 * (i % 200 == u) for u in range(200) for i in range(1600)}
